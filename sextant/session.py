@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -41,13 +42,16 @@ def ensure_importable(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, one machine) a temporary folder stands in.
+    Only where that setting is missing (tests, one machine) a temporary folder of this
+    process stands in.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sextant-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return folder.rstrip("/") if folder else _stand_in()
+
+
+@functools.cache
+def _stand_in() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sextant-shared-")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
