@@ -51,6 +51,14 @@ def _balanced(text: str, pos: int) -> int:
     return -1
 
 
+def _unannotated(text: str) -> str:
+    """A declaration without the annotations before it."""
+    while m := re.match(r"\s*@[\w.]+\s*", text):
+        stop = _balanced(text, m.end()) if text[m.end() : m.end() + 1] == "(" else m.end()
+        text = text[stop if stop > 0 else len(text) :]
+    return text
+
+
 def java_islands(text: str) -> list[Island]:
     """Methods and constructors of all types of a file, with the comment right before each."""
     package = PACKAGE.search(text)
@@ -91,8 +99,7 @@ def java_islands(text: str) -> list[Island]:
                 continue
             until = _balanced(text, tail.start("kind")) if tail["kind"] == "{" else text.find(";", stop) + 1
             until = until if until > 0 else len(text)
-            signature = " ".join((head + text[m.start() : tail.start("kind")]).split())
-            signature = re.sub(r"^(?:@[\w.]+(?:\s*\([^)]*\))?\s*)+", "", signature)
+            signature = " ".join(_unannotated(head + text[m.start() : tail.start("kind")]).split())
             owner = ".".join(x for x, _ in owners)
             if package:
                 owner = f"{package[1]}.{owner}"
