@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,35 +50,45 @@ def embed_text(text: str | None, dim: int) -> list[float]:
     return [x / n for x in v] if n else v
 
 
-def token_buckets(text: Column, dim: int) -> Column:
-    """Array of the buckets of a text's tokens, inside the JVM."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+class Buckets(dict):
+    """Bucket of each token seen by one worker; forgets all when it grows beyond a bound."""
 
-    def bucket(t: Column) -> Column:
-        codes = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
-        h = F.aggregate(codes, F.lit(1).cast("bigint"), lambda a, x: (a * 31 + x).bitwiseAND(F.lit(MASK)))
-        return F.pmod(F.when(h >= (1 << 31), h - (1 << 32)).otherwise(h), F.lit(dim)).cast("int")
+    def __init__(self, dim: int, most: int = 500_000):
+        super().__init__()
+        self.dim, self.most = dim, most
 
-    return F.transform(words, bucket)
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        b = self[token] = bucket_of(token, self.dim)
+        return b
+
+
+WORD = re.compile("[a-z0-9]+")
 
 
 def hashed_cosine(text: Column, query: list[float]) -> Column:
-    """Cosine of a text's hashing embedding and a query vector, without building the vector.
+    """Cosine of a text's hashing embedding and a query vector; null for a text without [a-z0-9].
 
-    The dot product is a sum over tokens; the length comes from runs in the sorted buckets.
+    Arrow batches through a table of known tokens: the same fold as higher-order functions
+    inside the JVM took eight times as long, as those are interpreted for every character.
     """
-    buckets = token_buckets(text, len(query))
-    table = F.array(*[F.lit(float(x)) for x in query])
-    product = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.element_at(table, b + 1))
-    zero = F.struct(F.lit(-1).alias("b"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("total"))
-
-    def step(s: Column, b: Column) -> Column:
-        run = F.when(s["b"] == b, s["run"] + 1).otherwise(F.lit(1).cast("bigint"))
-        return F.struct(b.alias("b"), run.alias("run"), (s["total"] + 2 * run - 1).alias("total"))
-
-    square = F.aggregate(F.array_sort(buckets), zero, step)["total"]
-    length = math.sqrt(sum(x * x for x in query))
-    return F.when((square > 0) & F.lit(length > 0), product / (F.sqrt(square.cast("double")) * (length or 1.0)))
+    dim = len(query)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets, q = Buckets(dim), np.asarray(query)
+        length = float(np.linalg.norm(q))
+        for texts in batches:
+            out = np.full(len(texts), np.nan)
+            for n, t in enumerate(texts):
+                tokens = WORD.findall(t.lower()) if t else ()
+                if tokens and length:
+                    v = np.bincount(np.fromiter(map(buckets.__getitem__, tokens), np.int64, len(tokens)), minlength=dim)
+                    out[n] = float(v @ q) / (math.sqrt(float(v @ v)) * length)
+            yield pd.Series(out, dtype="object").where(~np.isnan(out), None)
+
+    return score(text)
 
 
 def embed_udf(dim: int):
