@@ -60,99 +60,129 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 
 # ---------------------------------------------------------------- the flow
 class Flow:
-    """Minimum-cost flow by successive shortest paths with potentials (capacities are tokens)."""
+    """A network of integer capacities that is augmented along shortest paths until none is left."""
 
     def __init__(self, nodes: int):
         self.head: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[int] = []
 
-    def edge(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+    def edge(self, a: int, b: int, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
             self.head[x].append(len(self.to))
             self.to.append(y)
             self.room.append(r)
-            self.cost.append(c)
         return len(self.to) - 2
 
-    def run(self, source: int, sink: int) -> int:
-        import heapq
+    def levels(self, source: int) -> list[int]:
+        level = [-1] * len(self.head)
+        level[source], queue = 0, [source]
+        for x in queue:
+            for e in self.head[x]:
+                if self.room[e] > 0 and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[x] + 1
+                    queue.append(self.to[e])
+        return level
 
-        n, total = len(self.head), 0
-        potential = [0] * n
+    def run(self, source: int, sink: int) -> int:
+        """Augment in phases of equally long paths; the amount added."""
+        total, head, to, room = 0, self.head, self.to, self.room
         while True:
-            far = [float("inf")] * n
-            via = [-1] * n
-            far[source] = 0
-            heap = [(0, source)]
-            while heap:
-                d, x = heapq.heappop(heap)
-                if d > far[x]:
-                    continue
-                for e in self.head[x]:
-                    if self.room[e] > 0:
-                        y = self.to[e]
-                        nd = d + self.cost[e] + potential[x] - potential[y]
-                        if nd < far[y]:
-                            far[y], via[y] = nd, e
-                            heapq.heappush(heap, (nd, y))
-            if via[sink] < 0:
+            level = self.levels(source)
+            if level[sink] < 0:
                 return total
-            for x in range(n):
-                if far[x] < float("inf"):
-                    potential[x] += far[x]
-            push, x = None, sink
-            while x != source:
-                push = self.room[via[x]] if push is None else min(push, self.room[via[x]])
-                x = self.to[via[x] ^ 1]
-            x = sink
-            while x != source:
-                self.room[via[x]] -= push
-                self.room[via[x] ^ 1] += push
-                x = self.to[via[x] ^ 1]
-            total += push
-
-
-def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int) -> tuple[dict[tuple, list[tuple[int, str, int]]], int]:
-    """For a total of tokens: (repetition, source, tokens) of each pattern, and the tokens that could be routed.
+            at = [0] * len(head)
+            path: list[int] = []
+            x = source
+            while True:
+                if x == sink:
+                    push = min(room[e] for e in path)
+                    total += push
+                    for n, e in enumerate(path):
+                        room[e] -= push
+                        room[e ^ 1] += push
+                    first = next(n for n, e in enumerate(path) if room[e] == 0)
+                    x = to[path[first] ^ 1]
+                    del path[first:]
+                    continue
+                while at[x] < len(head[x]):
+                    e = head[x][at[x]]
+                    if room[e] > 0 and level[to[e]] == level[x] + 1:
+                        break
+                    at[x] += 1
+                else:
+                    if not path:
+                        break
+                    x = to[path.pop() ^ 1]
+                    at[x] += 1
+                    continue
+                path.append(e)
+                x = to[e]
+
+
+class Routing:
+    """Patterns of sources, their texts' repetitions, and the sources' quotas, as one network.
 
     The r-th repetition of a pattern's texts is a node of its own with the pattern's
-    tokens as capacity, and costs r*r; it serves only sources that allow r repetitions.
+    tokens as capacity, and costs r*r a token; it serves only sources that allow r
+    repetitions. As all cost lies on the edges out of the origin, opening them in the
+    order of their cost and augmenting after each gives the flow of least cost.
     """
-    sources = sorted(targets)
-    at = {s: 1 + i for i, s in enumerate(sources)}
-    layers = [(p, r) for p in sorted(patterns) for r in range(1, max(targets[s][1] for s in p) + 1)]
-    flow = Flow(2 + len(sources) + len(layers))
-    sink = len(flow.head) - 1
-    for s in sources:
-        flow.edge(at[s], sink, int(round(targets[s][0] * total)), 0)
-    edges = []
-    for i, (p, r) in enumerate(layers):
-        node = 1 + len(sources) + i
-        flow.edge(0, node, patterns[p], r * r)
-        for s in p:
-            if targets[s][1] >= r:
-                edges.append((p, r, s, flow.edge(node, at[s], patterns[p], 0)))
-    got = flow.run(0, sink)
-    amounts: dict[tuple, list[tuple[int, str, int]]] = {}
-    for p, r, s, e in edges:
-        if used := flow.room[e ^ 1]:
-            amounts.setdefault(p, []).append((r, s, used))
-    return amounts, got
+
+    def __init__(self, patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int):
+        sources = sorted(targets)
+        self.quota = {s: int(round(targets[s][0] * total)) for s in sources}
+        self.at = {s: 1 + i for i, s in enumerate(sources)}
+        layers = [(r, p) for p in sorted(patterns) for r in range(1, max(targets[s][1] for s in p) + 1)]
+        self.flow = Flow(2 + len(sources) + len(layers))
+        self.sink = len(self.flow.head) - 1
+        for s in sources:
+            self.flow.edge(self.at[s], self.sink, self.quota[s])
+        self.edges, self.inlets = [], []
+        for i, (r, p) in enumerate(layers):
+            node = 1 + len(sources) + i
+            self.inlets.append((r, self.flow.edge(0, node, 0), patterns[p], node))
+            self.edges += [(p, r, s, self.flow.edge(node, self.at[s], patterns[p])) for s in p if targets[s][1] >= r]
+        self.got = 0
+
+    def solve(self) -> Routing:
+        for cost in sorted({r for r, *_ in self.inlets}):
+            for r, e, tokens, _ in self.inlets:
+                if r == cost:
+                    self.flow.room[e] = tokens
+            self.got += self.flow.run(0, self.sink)
+            if self.got == sum(self.quota.values()):
+                break
+        return self
+
+    def amounts(self) -> dict[tuple, list[tuple[int, str, int]]]:
+        """(repetition, source, tokens) of each pattern."""
+        out: dict[tuple, list[tuple[int, str, int]]] = {}
+        for p, r, s, e in self.edges:
+            if used := self.flow.room[e ^ 1]:
+                out.setdefault(p, []).append((r, s, used))
+        return out
+
+    def bottleneck(self) -> tuple[int, list[str]]:
+        """Of a smallest cut: the tokens of the cut inlets, and the sources that are still within reach."""
+        level = self.flow.levels(0)
+        return sum(tokens for _, _, tokens, node in self.inlets if level[node] < 0), [s for s, n in self.at.items() if level[n] >= 0]
 
 
 def largest_total(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]]) -> int:
-    """The most tokens for which every source's quota can be filled, to one part in a thousand."""
-    low, high = 0, sum(n * max(targets[s][1] for s in p) for p, n in patterns.items())
-    while high - low > max(1, high // 1000):
-        middle = (low + high + 1) // 2
-        wanted = sum(int(round(share * middle)) for share, _ in targets.values())
-        if route(patterns, targets, middle)[1] >= wanted:
-            low = middle
-        else:
-            high = middle - 1
-    return low
+    """The most tokens for which every source's quota can be filled.
+
+    From above: each smallest cut that a total does not pass gives the total that it would let pass.
+    """
+    total = sum(n * max(targets[s][1] for s in p) for p, n in patterns.items())
+    while total > 0:
+        routing = Routing(patterns, targets, total).solve()
+        if routing.got >= sum(routing.quota.values()):
+            return total
+        tokens, reached = routing.bottleneck()
+        rest = 1.0 - sum(targets[s][0] for s in reached)
+        total = min(total - 1, int(tokens / rest) if rest > 1e-12 else 0)
+    return 0
 
 
 def _targets(mix_targets: DataFrame) -> dict[str, tuple[float, int]]:
@@ -198,7 +228,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
     whole = sum(v[0] for v in present.values())
     present = {s: (share / whole, repeats) for s, (share, repeats) in present.items()}
     total = largest_total(patterns, present) if total_tokens is None else total_tokens
-    amounts, _ = route(patterns, present, total)
+    amounts = Routing(patterns, present, total).solve().amounts()
     # Each repetition of a pattern is one line of its units in seeded order; the sources take consecutive stretches of it.
     stretches = []
     for p, parts in amounts.items():
