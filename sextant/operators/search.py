@@ -71,7 +71,7 @@ def corpus_statistics(counted: DataFrame, n_terms: int) -> tuple[int, float, lis
 
 
 def bm25_scores(chunks: DataFrame, query: str | None, where: SearchFilter = ANY, mode: str = "simple", statistics: tuple | None = None) -> DataFrame:
-    """Rows of chunks with at least one query term and their score.
+    """Rows of chunks and their score; those without a query term are left out or have score 0.
 
     The filter never changes the statistics: they are those of all rows, or the ones
     given (of an index built before). A query without terms gives no rows. Repeated query
@@ -88,25 +88,27 @@ def bm25_scores(chunks: DataFrame, query: str | None, where: SearchFilter = ANY,
         idf = math.log(1 + (n - df[i] + 0.5) / (df[i] + 0.5)) * terms.count(w)
         tf = F.col("tf")[i].cast("double")
         score = score + F.lit(idf) * tf / (tf + K1 * (1 - B + B * F.col("dl") / (average or 1.0)))
-    scored = term_frequencies(chunks.filter(where.condition()), distinct, mode)
-    some = F.exists("tf", lambda x: x > 0)
-    return scored.filter(some).withColumn("score", score).drop("tf", "dl")
+    # Texts that do not even hold a term as a substring are dropped before they are cut into terms.
+    holds = reduce(lambda a, b: a | b, (F.contains(F.lower("text"), F.lit(w)) for w in distinct))
+    scored = term_frequencies(chunks.filter(where.condition() & holds), distinct, mode)
+    return scored.withColumn("score", score).drop("tf", "dl")
 
 
 def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k rows. Conditions on the score come after it: before it they would be pushed down and the score computed twice."""
     return df.orderBy(*order).limit(_k(k))
 
 
 def bm25(chunks: DataFrame, query: str | None, k: int = DEFAULTS.default_k, where: SearchFilter = ANY, mode: str = "simple") -> DataFrame:
-    """The k best rows, ties by seq."""
-    return _top(bm25_scores(chunks, query, where, mode), k, F.desc("score"), F.asc("seq"))
+    """The k best rows with at least one query term, ties by seq."""
+    return _top(bm25_scores(chunks, query, where, mode), k, F.desc("score"), F.asc("seq")).filter("score > 0")
 
 
 def knn(chunks: DataFrame, vector: list[float], k: int = DEFAULTS.default_k, where: SearchFilter = ANY) -> DataFrame:
     """The k rows of highest cosine that pass the filter; rows with a null, zero or other-sized vector take no part."""
     q = F.array(*[F.lit(float(x)) for x in vector])
-    scored = chunks.filter(where.condition()).withColumn("score", V.knn_score(V.cosine(F.col("vector"), q))).filter("score is not null")
-    return _top(scored, k, F.desc("score"), F.asc("seq"))
+    scored = chunks.filter(where.condition()).withColumn("score", V.knn_score(V.cosine(F.col("vector"), q)))
+    return _top(scored, k, F.desc("score"), F.asc("seq")).filter("score is not null")
 
 
 def knn_hashed(chunks: DataFrame, query: str | None, k: int = DEFAULTS.default_k, where: SearchFilter = ANY, dim: int = DEFAULTS.dim) -> DataFrame:
@@ -114,8 +116,8 @@ def knn_hashed(chunks: DataFrame, query: str | None, k: int = DEFAULTS.default_k
     q = V.embed_text(query, dim)
     if not any(q):
         return chunks.withColumn("score", F.lit(0.0)).limit(0)
-    scored = chunks.filter(where.condition()).withColumn("score", V.knn_score(V.hashed_cosine(F.col("text"), q))).filter("score is not null")
-    return _top(scored, k, F.desc("score"), F.asc("seq"))
+    scored = chunks.filter(where.condition()).withColumn("score", V.knn_score(V.hashed_cosine(F.col("text"), q)))
+    return _top(scored, k, F.desc("score"), F.asc("seq")).filter("score is not null")
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, k: int, constant: int = DEFAULTS.rrf_constant) -> DataFrame:
