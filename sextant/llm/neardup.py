@@ -25,8 +25,9 @@ from sextant.session import materialize
 WORDS = re.compile(r"[^\W_]+")
 #: Coarse segments of the popcount vector that bounds the distance of candidates.
 SEGMENTS = 64
-#: Expected number of shared cells of a pair just at the threshold; a pair is missed with probability exp(-HITS).
-HITS = 9.0
+#: Expected number of shared cells of a pair just at the threshold. Candidates share at least SHARED cells (unrelated
+#: texts seldom share more than one), so a pair is missed with the Poisson probability of fewer: 8e-5 for 12 and 2.
+HITS, SHARED = 12.0, 2
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -176,7 +177,8 @@ def near_classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, least:
     a = keyed.select("cell", F.col("rep").alias("rep_a"), F.col("size").alias("size_a"))
     b = keyed.select("cell", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"))
     sized = (F.col("size_b") >= threshold * F.col("size_a")) & (F.col("size_a") >= threshold * F.col("size_b"))
-    candidates = a.join(b, "cell").filter((F.col("rep_a") < F.col("rep_b")) & sized).select("rep_a", "rep_b").distinct()
+    shared = a.join(b, "cell").filter((F.col("rep_a") < F.col("rep_b")) & sized).groupBy("rep_a", "rep_b").agg(F.count("*").alias("n"))
+    candidates = shared.filter(F.col("n") >= SHARED).select("rep_a", "rep_b")
     pops = reps.select("rep", "pops")
     close = (
         candidates.join(pops.select(F.col("rep").alias("rep_a"), F.col("pops").alias("pops_a")), "rep_a")
