@@ -133,11 +133,39 @@ WITH k AS (SELECT seq, text FROM ({_CURRENT}) WHERE domain = 'KNOWLEDGE' AND tex
 w AS (SELECT seq, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM k),
 s AS (SELECT DISTINCT seq, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 3),
 n AS (SELECT seq, count(*) AS n FROM s GROUP BY seq HAVING count(*) >= 10),
-x AS (SELECT a.seq AS seq_a, b.seq AS seq_b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.seq < b.seq GROUP BY 1, 2)
-SELECT seq_a, seq_b FROM x JOIN n na ON na.seq = seq_a JOIN n nb ON nb.seq = seq_b WHERE both >= 0.6 * (na.n + nb.n - both)
+x AS (SELECT a.seq AS seq_a, b.seq AS seq_b, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.seq < b.seq GROUP BY 1, 2)
+SELECT seq_a, seq_b FROM x JOIN n na ON na.seq = seq_a JOIN n nb ON nb.seq = seq_b WHERE n_both >= 0.6 * (na.n + nb.n - n_both)
+"""
+
+# Classes of equal sets of five-word sequences, and their links at 0.8.
+_P4_GROUPS = f"""
+WITH k AS (SELECT seq, text FROM ({_CURRENT}) WHERE domain = 'KNOWLEDGE' AND text IS NOT NULL),
+w AS (SELECT seq, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM k),
+s AS (SELECT DISTINCT seq, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] for i in range(1, len(w) - 3)]) AS g FROM w WHERE len(w) >= 5),
+l AS (SELECT seq, list(g ORDER BY g) AS all_of, count(*) AS n FROM s GROUP BY seq),
+c AS (SELECT seq, n, min(seq) OVER (PARTITION BY all_of) AS class_id, count(*) OVER (PARTITION BY all_of) AS copies FROM l),
+r AS (SELECT s.seq, s.g, c.n FROM s JOIN c ON c.seq = s.seq AND c.class_id = s.seq),
+x AS (SELECT a.seq AS a, b.seq AS b FROM r a JOIN r b ON a.g = b.g AND a.seq <> b.seq GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*))),
+d AS (SELECT a, count(*) AS links FROM x GROUP BY a)
+SELECT seq, class_id, copies, coalesce(links, 0) AS links FROM c LEFT JOIN d ON d.a = class_id
+"""
+
+# Lines, running fences and separating blank lines.
+_P5_FOUND = f"""
+WITH t AS (SELECT seq, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS b FROM ({_CURRENT}) WHERE text IS NOT NULL),
+big AS (SELECT * FROM t WHERE length(b) > 4000),
+l AS (SELECT seq, u.line, u.n FROM big, LATERAL (SELECT unnest(string_split(b, chr(10))) AS line, generate_subscripts(string_split(b, chr(10)), 1) AS n) u),
+f AS (SELECT *, sum(CASE WHEN line LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY n) AS fences FROM l),
+p AS (SELECT *, regexp_full_match(line, '\\s*') AND fences % 2 = 0 AND NOT line LIKE '```%' AS parts FROM f),
+g AS (SELECT *, sum(parts::INT) OVER (PARTITION BY seq ORDER BY n) AS grp FROM p),
+k AS (SELECT seq, grp, string_agg(line, chr(10) ORDER BY n) AS block FROM g WHERE NOT parts GROUP BY seq, grp),
+o AS (SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY grp) AS block_no, regexp_replace(regexp_replace(block, '^\\s+', ''), '\\s+$', '') AS block FROM k)
+SELECT seq, 0::BIGINT AS block_no FROM big UNION ALL SELECT seq, block_no FROM o WHERE length(block) > 4000
 """
 
 ORACLES: dict[str, str] = {
+    "p4_groups": _P4_GROUPS,
+    "p5_found": _P5_FOUND,
     "p2_found": f"""
 WITH v AS (SELECT seq, vector::DOUBLE[64] AS v FROM ({_CURRENT}) WHERE len(vector) = 64 AND list_sum([x * x for x in vector]) > 0),
 s AS (SELECT a.seq AS seq, b.seq AS other, array_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.seq != b.seq),
