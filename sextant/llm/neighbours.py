@@ -133,7 +133,7 @@ def _codes_of(codec) -> object:
 def _ranked(codec, rerank: int, floor: float | None, dim: int) -> object:
     """Per (home cell, query block, code block): the best codes of each query by distance tables."""
 
-    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         c = codec.value
         is_query = pdf["unit"].notna().to_numpy()
         queries, codes = pdf[is_query], pdf[~is_query]
@@ -174,7 +174,7 @@ def _ranked(codec, rerank: int, floor: float | None, dim: int) -> object:
 def _exact(k: int, floor: float | None, dim: int) -> object:
     """Per (home cell, query block): exact cosines of the queries and their candidates, the best k of each."""
 
-    def rerank(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def rerank(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         is_query = pdf["askers"].isna().to_numpy()
         queries, others = pdf[is_query], pdf[~is_query]
         if queries.empty or others.empty:
@@ -278,6 +278,7 @@ def most_similar(rows: DataFrame, k: int = 5, dim: int = 64, floor: float | None
     wide = pairs.join(members.withColumnRenamed("rep", "other"), "other", "left")
     wide = wide.select("rep", F.explode(F.coalesce(F.slice("members", 1, k), F.array("other"))).alias("other"), "similarity")
     top = wide.withColumn("r", F.row_number().over(_by("rep"))).filter(F.col("r") <= k).groupBy("rep").agg(F.collect_list(F.struct("other", "similarity")).alias("outer"))
+    top = materialize(top, "neighbours")  # read by the class and by its followers; the search is not done twice
     owners = several.filter(F.col("n") <= k).select("rep")  # larger classes have k others of their own
     followers = copies.join(owners, "rep", "left_semi").filter("seq != rep")
     outer = top.select(F.col("rep").alias("seq"), "outer").unionByName(followers.join(top, "rep").select("seq", "outer"))
