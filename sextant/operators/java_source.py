@@ -53,6 +53,7 @@ class Source:
         self.text = text
         self.tokens: list[tuple[str, str, int]] = []
         self.match: dict[int, int] = {}
+        self.opener: dict[int, int] = {}
         open_: list[int] = []
         for m in TOKEN.finditer(text):
             if m.lastgroup == "skip":
@@ -63,7 +64,8 @@ class Source:
             elif m.lastgroup == "sign" and tok in CLOSING:
                 if not open_ or self.tokens[open_[-1]][1] != CLOSING[tok]:
                     raise ValueError("delimiters do not match")
-                self.match[open_.pop()] = n
+                self.opener[n] = open_.pop()
+                self.match[self.opener[n]] = n
             self.tokens.append((m.lastgroup, tok, m.start()))
         if open_:
             raise ValueError("delimiters do not match")
@@ -232,8 +234,7 @@ class Source:
             while self.word(start - 1) == ".":
                 start -= 2
                 if self.word(start) in (")", "]"):
-                    opening = next(o for o, c in self.match.items() if c == start)
-                    start = opening
+                    start = self.opener[start]
                     if self.tokens[start - 1][0] == "word" and self.word(start - 1) not in NOT_CALLS:
                         start -= 1
             if self.word(start - 1) == "new":
