@@ -35,33 +35,32 @@ WATER = re.compile(
 )
 HEAD = re.compile(r"(?:(?<=[\s>\])?])|^)(?P<name>[^\W\d][\w$]*)\s*$")
 NOT_A_METHOD = frozenset("if for while switch catch synchronized try return new else do assert throw case super this".split())
-PACKAGE = re.compile(r"^\s*package\s+([\w.]+)\s*;?", re.MULTILINE)
+PACKAGE = re.compile(r"^[ \t]*package\s+([\w.]+)\s*;?", re.MULTILINE)
 
 
-def _balanced(text: str, pos: int) -> int:
-    """The offset behind the delimiter that closes the one at pos, or -1."""
-    depth = 0
-    for m in WATER.finditer(text, pos):
+def _matches(text: str) -> dict[int, int]:
+    """For each delimiter that is closed the offset behind its closing one, in one pass with a stack."""
+    found: dict[int, int] = {}
+    stack: list[int] = []
+    for m in WATER.finditer(text):
         if m["open"]:
-            depth += 1
-        elif m["close"]:
-            depth -= 1
-            if depth == 0:
-                return m.end()
-    return -1
+            stack.append(m.start())
+        elif m["close"] and stack:
+            found[stack.pop()] = m.end()
+    return found
 
 
 def _unannotated(text: str) -> str:
     """A declaration without the annotations before it."""
     while m := re.match(r"\s*@[\w.]+\s*", text):
-        stop = _balanced(text, m.end()) if text[m.end() : m.end() + 1] == "(" else m.end()
-        text = text[stop if stop > 0 else len(text) :]
+        stop = _matches(text).get(m.end(), len(text)) if text[m.end() : m.end() + 1] == "(" else m.end()
+        text = text[stop:]
     return text
 
 
 def java_islands(text: str) -> list[Island]:
     """Methods and constructors of all types of a file, with the comment right before each."""
-    package = PACKAGE.search(text)
+    package, closed = PACKAGE.search(text), _matches(text)
     found: list[Island] = []
     owners: list[tuple[str, int]] = []  # type names and the offset where their bodies end
     doc, begin, pos = None, 0, 0
@@ -76,8 +75,8 @@ def java_islands(text: str) -> list[Island]:
         elif m["type"]:
             brace = text.find("{", pos)
             if m["type"].startswith("record") and "(" in text[pos:brace]:
-                brace = text.find("{", _balanced(text, text.find("(", pos)))
-            stop = _balanced(text, brace) if brace >= 0 else -1
+                brace = text.find("{", closed.get(text.find("(", pos), pos))
+            stop = closed.get(brace, -1)
             if stop > 0:
                 owners.append((m["tname"], stop))
                 pos = brace + 1
@@ -85,11 +84,12 @@ def java_islands(text: str) -> list[Island]:
         elif m["end"] or m["close"]:
             doc, begin = None, pos
         elif m["open"] == "(":
-            stop = _balanced(text, m.start())
-            head = re.sub(r"/\*.*?\*/|//[^\n]*", " ", text[begin : m.start()], flags=re.DOTALL)
-            name = HEAD.search(head)
+            stop = closed.get(m.start(), -1)
             if stop < 0:
+                begin = pos
                 continue
+            head = re.sub(r"/\*.*?\*/|//[^\n]*", " ", text[begin : m.start()], flags=re.DOTALL)
+            name = HEAD.search(head)
             if not owners or name is None or name["name"] in NOT_A_METHOD or head.rstrip().endswith("@" + name["name"]) or "=" in re.sub(r"\([^)]*\)", "", head):
                 pos = stop  # an annotation's arguments, or an expression
                 continue
@@ -97,7 +97,7 @@ def java_islands(text: str) -> list[Island]:
             if tail is None:
                 pos = stop
                 continue
-            until = _balanced(text, tail.start("kind")) if tail["kind"] == "{" else text.find(";", stop) + 1
+            until = closed.get(tail.start("kind"), -1) if tail["kind"] == "{" else text.find(";", stop) + 1
             until = until if until > 0 else len(text)
             signature = " ".join(_unannotated(head + text[m.start() : tail.start("kind")]).split())
             owner = ".".join(x for x, _ in owners)
@@ -106,7 +106,7 @@ def java_islands(text: str) -> list[Island]:
             found.append(Island(owner, name["name"], signature, doc, text[begin:until].strip()))
             doc, begin, pos = None, until, until
         elif m["open"] == "{":  # an initializer or array: water
-            stop = _balanced(text, m.start())
+            stop = closed.get(m.start(), -1)
             pos = stop if stop > 0 else pos
             doc, begin = None, pos
         elif m["open"] == "[":
@@ -167,7 +167,7 @@ def python_islands(text: str) -> list[Island]:
 GRAMMARS = {"java": java_islands, "python": python_islands}
 
 # ---------------------------------------------------------------- does a comment inform?
-TAG = re.compile(r"^\s*@(\w+)\b", re.MULTILINE)
+TAG = re.compile(r"^[ \t]*@(\w+)\b", re.MULTILINE)
 # What a comment's clause may consist of without telling anything.
 PLACEHOLDER = re.compile(
     r"(?:(?:todo|fixme|xxx+|tbd|tba|tbc|wip|hack)\b[\s:.!-]*)?(?:(?:please\s+)?(?:add|write|insert|put|fill\s+in|needs?|missing|no|without|lacks?|to\s+be|describe|document|undocumented|not)?\s*(?:any\s+|a\s+|the\s+|your\s+|yet\s+)*(?:doc(?:s|umentation|ument(?:ed)?)?|javadoc|description|comment|describe|described|documented|written|done|defined|provided|available|later|here|text|summary|implementation|determined|filled\s+in|supplied|this|it|method|function)(?:\s+(?:available|provided|yet|here|goes|needed|required|given|missing|later|follows|pending|to|be|added|done|in|this|it|method|function|text|comment|description|documentation))*)?[\s.!:-]*"
@@ -260,7 +260,7 @@ def informs(doc: str | None, known: set[str]) -> bool:
     if doc is None:
         return False
     body = INLINE.sub(lambda m: " " if m[1].lower() == "inheritdoc" else f" ⟦{m[2]}⟧ " if m[1].startswith("link") else f" {m[2]} ", strip_marks(doc))
-    body = re.sub(r"^\s*\(non-javadoc\)", " ", HTML.sub(" . ", body), flags=re.IGNORECASE | re.MULTILINE)
+    body = re.sub(r"^[ \t]*\(non-javadoc\)", " ", HTML.sub(" . ", body), flags=re.IGNORECASE | re.MULTILINE)
     body = re.sub(r"(?<!\w)(@inheritdoc)\b", " ", body, flags=re.IGNORECASE)
     starts = [m.start() for m in TAG.finditer(body)]
     main = body[: starts[0]] if starts else body
