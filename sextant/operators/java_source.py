@@ -153,7 +153,7 @@ class Source:
         return out
 
     def types(self) -> tuple[str, list[Type]]:
-        package = re.search(r"^\s*package\s+([\w.\s]+?)\s*;", self.text, re.MULTILINE)
+        package = re.search(r"^[ \t]*package\s+(\w+(?:\s*\.\s*\w+)*)\s*;", self.text, re.MULTILINE)
         found: list[Type] = []
         self.declarations(0, len(self.tokens), None, found)
         return re.sub(r"\s", "", package[1]) if package else "", found
