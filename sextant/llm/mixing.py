@@ -206,7 +206,8 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
     spark = documents.sparkSession
     targets = _targets(mix_targets)
     listed = spark.createDataFrame(sorted((s, v[0], v[1]) for s, v in targets.items()), "source string, target_share double, max_repeats int")
-    counted = materialize(count_tokens(documents, vocabulary).filter(F.col("source").isin(sorted(targets)) if targets else F.lit(False)), "tokens")
+    wanted = documents.filter(F.lower(F.trim("source")).isin(sorted(targets)) if targets else F.lit(False))
+    counted = materialize(count_tokens(wanted, vocabulary), "tokens")
     # One unit per distinct text: its sources and its lowest document in each. collect_set is folded map-side.
     units = counted.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.min("doc_id").alias("first"), F.max("tokens").alias("tokens"))
     by_pattern = units.groupBy("sources").agg(F.sum("tokens").alias("tokens"))
