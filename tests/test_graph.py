@@ -64,13 +64,13 @@ def test_bean_graph_resolves_simple_names(make_events):
     e = make_events
     n, ed = fold(
         e(
-            *[e.node(f"com.acme.{c}", c, None, "Class", ["BEAN"]) for c in ("OrderService", "PaymentService", "RepoClient")],
-            e.edge("com.acme.OrderService", "PaymentService", "DEPENDS_ON"),
-            e.edge("com.acme.PaymentService", "RepoClient", "DEPENDS_ON"),
+            *[e.node(f"com.shop.{c}", c, None, "Class", ["BEAN"]) for c in ("OrderService", "PaymentService", "RepoClient")],
+            e.edge("com.shop.OrderService", "PaymentService", "DEPENDS_ON"),
+            e.edge("com.shop.PaymentService", "RepoClient", "DEPENDS_ON"),
         )
     )
     got = graph.bean_graph(n, ed, "OrderService", 2).orderBy("depth").collect()
-    assert [(r["root"], r["fqn"], r["depth"]) for r in got] == [("com.acme.OrderService", "com.acme.PaymentService", 1), ("com.acme.OrderService", "com.acme.RepoClient", 2)]
+    assert [(r["root"], r["fqn"], r["depth"]) for r in got] == [("com.shop.OrderService", "com.shop.PaymentService", 1), ("com.shop.OrderService", "com.shop.RepoClient", 2)]
     assert graph.bean_graph(n, ed, "OrderService", 1).count() == 1
     assert graph.bean_graph(n, ed, "Nothing", 2).count() == 0
 

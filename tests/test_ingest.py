@@ -2,7 +2,7 @@ from sextant.operators import compact, ingest, java_source, markdown, monitor
 from sextant.sources import store
 from sextant.sources.repository import IgnoreRules
 
-JAVA = '''package com.acme;
+JAVA = '''package com.shop;
 import java.util.*;
 /** Pays.
  * Twice. */
@@ -32,20 +32,20 @@ public class PaymentService<T extends Comparable<T>> extends Base {
 def test_java_structure():
     chunks, events = ingest.parse_java("r", "P.java", JAVA)
     assert [c["fqn"] for c in chunks] == [
-        "com.acme.PaymentService",
-        "com.acme.PaymentService#settle(String, Map<String, Long>)",
-        "com.acme.PaymentService#pay(Dto)",
-        "com.acme.PaymentService#none()",
-        "com.acme.PaymentService#items()",
-        "com.acme.PaymentService#listen(String)",
-        "com.acme.Inner",
-        "com.acme.Inner#f(int)",
-    ] or [c["fqn"] for c in chunks][-1].startswith("com.acme.Inner#f(int")
-    assert chunks[0]["text"] == "com.acme.PaymentService\nPays.\nTwice."
+        "com.shop.PaymentService",
+        "com.shop.PaymentService#settle(String, Map<String, Long>)",
+        "com.shop.PaymentService#pay(Dto)",
+        "com.shop.PaymentService#none()",
+        "com.shop.PaymentService#items()",
+        "com.shop.PaymentService#listen(String)",
+        "com.shop.Inner",
+        "com.shop.Inner#f(int)",
+    ] or [c["fqn"] for c in chunks][-1].startswith("com.shop.Inner#f(int")
+    assert chunks[0]["text"] == "com.shop.PaymentService\nPays.\nTwice."
     assert chunks[0]["symbols"] == ["@Service"]
     assert chunks[1]["text"].startswith("public <R> Optional<R> settle(String id, Map<String, Long> by) throws IOException\n{")
     edges = {(e["src"], e["dst"], e["edge_type"]) for e in events if e["kind"] == "E"}
-    top = "com.acme.PaymentService"
+    top = "com.shop.PaymentService"
     assert (top, "OrderRepo", "DEPENDS_ON") in edges
     assert not any(t == "DEPENDS_ON" and d != "OrderRepo" for _, d, t in edges)
     assert {d for s, d, t in edges if t == "EXPOSES"} == {"POST /api/pay", "GET /", "ANY /v1/items"}
@@ -54,7 +54,7 @@ def test_java_structure():
     assert calls == {"log.info", "repo.find(id).ifPresent", "repo.find", "markPaid", "Optional.empty"}
     nodes = {e["id"]: e for e in events if e["kind"] == "N"}
     assert nodes[top]["tags"] == ["BEAN"]
-    assert nodes["com.acme.Inner"]["label"] == "Interface"
+    assert nodes["com.shop.Inner"]["label"] == "Interface"
 
 
 def test_java_that_does_not_parse_gives_nothing():

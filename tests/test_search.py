@@ -100,8 +100,8 @@ def test_reranking_only_orders(make_chunks):
 
 def test_symbol_lookups(make_chunks):
     rows = make_chunks(
-        {"id": "c1", "fqn": "com.acme.PaymentService", "symbols": ["@Service"]},
-        {"id": "m1", "fqn": "com.acme.PaymentService#settle(String)", "type": "METHOD", "text": "line one\n" + "x" * 20},
+        {"id": "c1", "fqn": "com.shop.PaymentService", "symbols": ["@Service"]},
+        {"id": "m1", "fqn": "com.shop.PaymentService#settle(String)", "type": "METHOD", "text": "line one\n" + "x" * 20},
         {"id": "op1", "fqn": "POST /api/orders", "type": "OPENAPI_OP", "domain": "KNOWLEDGE"},
         {"id": "k1", "domain": "KNOWLEDGE", "type": "MD_SECTION", "title": "Readme"},
     )
@@ -111,13 +111,13 @@ def test_symbol_lookups(make_chunks):
     assert ids(search.by_name_fragment(rows, "settle", "CLASS")) == []
     assert ids(search.by_name_fragment(rows, "orders")) == ["op1"]
     assert ids(search.by_name_fragment(rows, "se?tle")) == ["m1"]
-    assert ids(search.by_name_fragment(rows, "com.acme.PaymentService")) == ["c1"]
+    assert ids(search.by_name_fragment(rows, "com.shop.PaymentService")) == ["c1"]
     assert search.text_by_fqn(rows, "nothing").count() == 0
     assert ids(search.by_type(rows, "OPENAPI_OP", "repo")) == ["op1"]
     assert ids(rows.filter(SearchFilter(symbol="@Service").condition())) == ["c1"]
     assert search.title_by_id(rows, "k1").first()[0] == "Readme"
     assert search.symbol_refs(rows).count() == 3
-    assert search.symbol_body(rows, "com.acme.PaymentService#settle(String)", 15).first()["body"] == "line one\n// ... (truncated)"
+    assert search.symbol_body(rows, "com.shop.PaymentService#settle(String)", 15).first()["body"] == "line one\n// ... (truncated)"
 
 
 def test_text_functions(spark):
@@ -134,9 +134,9 @@ def test_text_functions(spark):
     assert [value(T.token_estimate(F.lit(t))) for t in ("", "1234", "12345")] == [0, 1, 2]
     assert len(value(T.truncate_to_fit(F.lit("word1 word2 word3"), 3))) <= 12
     assert value(T.fqn_simple(F.lit("a.B#m(java.lang.String)"))) == "string)"
-    assert value(T.simple_name(F.lit("com.acme.Foo#doIt()"))) == "doIt"
+    assert value(T.simple_name(F.lit("com.shop.Foo#doIt()"))) == "doIt"
     assert [value(T.slug(F.lit(t))) for t in ("Big Section!", " ", "--A--")] == ["big-section", "body", "a"]
-    assert value(T.tokens(F.lit("com.acme.Foo costs 1,234.5 don't"), "standard")) == ["com.acme.foo", "costs", "1,234.5", "don't"]
+    assert value(T.tokens(F.lit("com.shop.Foo costs 1,234.5 don't"), "standard")) == ["com.shop.foo", "costs", "1,234.5", "don't"]
     assert value(T.strip_annotation_value(F.lit('{"/a"}'))) == "/a"
     assert [value(T.looks_like_bean(F.lit(t))) for t in ("PaymentService", "String", "int", "java.util.List<Foo>", "a.b.Store<X>")] == [True, False, False, False, True]
 
