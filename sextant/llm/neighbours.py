@@ -5,10 +5,13 @@ Vectors that point the same way (up to a fine grid) form one class; classes are
 their members expanded, so any number of copies costs no more than one vector. A cell's
 queries and its neighbour cells' codes meet in blocks of bounded size; asymmetric
 distance tables rank the codes and the best candidates are reranked with exact cosines.
+With a floor, every cell that the bounds of cell walls and radii leave open is then
+searched too, so no pair is lost to the number of probes or candidates.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +34,8 @@ SUBSPACES, CODEWORDS = 16, 256
 RERANK = 32
 #: Most queries, and most codes of one cell, in a block.
 BLOCK = 2048
+#: Vectors, about, that one pass of the completing search broadcasts (16 MB at 64 entries).
+PASS = 65_536
 GRID = 1e-4
 
 
@@ -236,11 +241,126 @@ def similar_classes(units_: DataFrame, codec: Codec, k: int, floor: float | None
     return candidates.unionByName(asked).groupBy("cell", "block").applyInPandas(_exact(k, floor, dim), "rep long, other long, similarity double")
 
 
+@dataclass
+class Source:
+    """Vectors of one pass, ordered by cell."""
+
+    rep: np.ndarray
+    unit: np.ndarray
+    cells: np.ndarray
+    starts: np.ndarray  # of each cell, and the end
+    radius: np.ndarray  # of each cell, by the vectors of this pass
+
+    @classmethod
+    def of(cls, rep: np.ndarray, unit_: np.ndarray, cell: np.ndarray, centroids: np.ndarray) -> Source:
+        order = np.lexsort((rep, cell))
+        rep, unit_, cell = rep[order], unit_[order], cell[order]
+        cells, starts = np.unique(cell, return_index=True)
+        far = np.linalg.norm(unit_ - centroids[cell], axis=1)
+        return cls(rep, unit_, cells, np.append(starts, len(rep)), np.maximum.reduceat(far, starts))
+
+
+def _open_cells(q: np.ndarray, home: np.ndarray, least: np.ndarray, centroids: np.ndarray, source: Source) -> np.ndarray:
+    """(queries, cells of the source): whether the cell may hold a vector of cosine least or more.
+
+    A vector of another cell lies beyond the wall halfway between both centroids, and none
+    lies further from its centroid than the radius; both bound the distance from below.
+    """
+    there, here = centroids[source.cells], centroids[home]
+    square = (there * there).sum(axis=1)
+    to = np.maximum(1 + square[None, :] - 2 * q @ there.T, 0)
+    own = 1 + (here * here).sum(axis=1) - 2 * np.einsum("ij,ij->i", q, here)
+    homes, where = np.unique(home, return_inverse=True)
+    c = centroids[homes]
+    between = np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] + square[None, :] - 2 * c @ there.T, 1e-12))
+    wall = (to - own[:, None] - 1e-5) / (2 * between[where])  # 1e-5, 1e-4: more than single precision misses
+    reach = np.sqrt(np.maximum(2 - 2 * least, 0)) + 1e-4
+    return np.maximum(wall, np.sqrt(to) - source.radius[None, :]) <= reach[:, None]
+
+
+def _completed(codec, source, k: int, floor: float | None, dim: int) -> object:
+    """The best k of the source for each query that reach its bound, by exact cosines in every open cell."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centroids, s = codec.value.centroids, source.value
+        for pdf in batches:
+            for a in range(0, len(pdf), 4096):
+                part = pdf.iloc[a : a + 4096]
+                q = np.frombuffer(b"".join(part["unit"]), np.float32).reshape(-1, dim)
+                rep, least = part["rep"].to_numpy(), part["least"].to_numpy().copy()
+                best, other = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64)
+                open_ = np.asfortranarray(_open_cells(q, part["cell"].to_numpy(), least, centroids, s))
+                for j in range(len(s.cells)):
+                    rows = np.flatnonzero(open_[:, j])
+                    if not len(rows):
+                        continue
+                    begin, end = s.starts[j], s.starts[j + 1]
+                    for b in range(begin, end, BLOCK):
+                        v = s.unit[b : min(b + BLOCK, end)]
+                        hit = q[rows] @ v.T >= (least[rows] - 1e-6).astype(np.float32)[:, None]
+                        if not hit.any():
+                            continue
+                        r, m = np.nonzero(hit)
+                        r, m = rows[r], m + b
+                        cosine = np.einsum("ij,ij->i", q[r].astype(np.float64), s.unit[m].astype(np.float64))
+                        good = rep[r] != s.rep[m]
+                        if floor is not None:
+                            good &= cosine >= floor
+                        r, m, cosine = r[good], m[good], cosine[good]
+                        touched = np.unique(r)
+                        row = np.concatenate([r, np.repeat(touched, k)])
+                        value = np.concatenate([cosine, best[touched].ravel()])
+                        name = np.concatenate([s.rep[m], other[touched].ravel()])
+                        order = np.lexsort((name, -value, row))
+                        row, value, name = row[order], value[order], name[order]
+                        rank = np.arange(len(row)) - np.searchsorted(row, row)
+                        kept = rank < k
+                        best[row[kept], rank[kept]], other[row[kept], rank[kept]] = value[kept], name[kept]
+                        least[touched] = np.maximum(least[touched], best[touched, k - 1])
+                r, c = np.nonzero(np.isfinite(best))
+                yield pd.DataFrame({"rep": rep[r], "other": other[r, c], "similarity": best[r, c]})
+
+    return search
+
+
+def complete(units_: DataFrame, pairs: DataFrame, codec: Codec, k: int, floor: float | None, dim: int) -> DataFrame:
+    """rep, other, similarity: the exact best k others of every unit, given what a first search found.
+
+    The k-th cosine found so far (or the floor) bounds what can still be better; a query is
+    compared with all vectors of every cell that may hold such a one. Nothing of a bounded
+    number is left out, and the work grows with the open cells, at worst with the square of the units.
+    """
+    spark = units_.sparkSession
+    shared = spark.sparkContext.broadcast(codec)
+    bounds = pairs.groupBy("rep").agg(F.count("*").alias("n"), F.min("similarity").alias("kth")).filter(F.col("n") >= k).select("rep", "kth")
+    lowest = F.lit(-2.0 if floor is None else float(floor))
+    asking = materialize(units_.join(bounds, "rep", "left").select("rep", "unit", "cell", F.coalesce("kth", lowest).alias("least")), "bounds")
+    sizes = sorted((r["cell"], r["n"]) for r in units_.groupBy("cell").agg(F.count("*").alias("n")).collect())  # at most MAX_CELLS
+    start = np.cumsum([0] + [n for _, n in sizes])
+    passes = max(1, -(-int(start[-1]) // PASS))
+    plan = spark.createDataFrame([(c, n, int(s)) for (c, n), s in zip(sizes, start)], "cell int, n long, start long")
+    turn = ((F.col("start") + F.pmod(F.xxhash64("rep"), F.col("n"))) * passes / F.lit(int(start[-1]))).cast("int")
+    placed = units_.join(F.broadcast(plan), "cell").withColumn("turn", turn)
+    found = []
+    for i in range(passes):
+        got = placed.filter(F.col("turn") == i).select("rep", "unit", "cell").toArrow()
+        if not got.num_rows:
+            continue
+        vectors = np.frombuffer(b"".join(got["unit"].to_pylist()), np.float32).reshape(-1, dim)
+        source = spark.sparkContext.broadcast(Source.of(got["rep"].to_numpy(), vectors, got["cell"].to_numpy(), codec.centroids))
+        found.append(materialize(asking.mapInPandas(_completed(shared, source, k, floor, dim), "rep long, other long, similarity double"), "completed"))
+        source.destroy()
+    if len(found) == 1:
+        return found[0]
+    both = functools.reduce(DataFrame.unionByName, found)
+    return both.withColumn("r", F.row_number().over(_by("rep"))).filter(F.col("r") <= k).drop("r")
+
+
 def most_similar(rows: DataFrame, k: int = 5, dim: int = 64, floor: float | None = None, probes: int = PROBES, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """seq, other, similarity, rank: the k rows of highest cosine similarity to every row of (seq, vector).
 
-    floor leaves out neighbours of a lower similarity, and lets their candidates be dropped
-    early by a bound that loses none. Rows with a null, short, long, zero or not finite
+    floor leaves out neighbours of a lower similarity, lets their candidates be dropped early
+    by a bound that loses none, and has the search completed until it is exact. Rows with a null, short, long, zero or not finite
     vector, or a null seq, take no part. Ties go to the lower seq. Vectors equal up to a
     grid of 1e-4 count as copies of similarity 1. Fewer than k others give fewer rows; an
     empty table gives none.
@@ -269,6 +389,8 @@ def most_similar(rows: DataFrame, k: int = 5, dim: int = 64, floor: float | None
     shared = spark.sparkContext.broadcast(codec)
     units_ = materialize(alone.mapInPandas(_codes_of(shared), "rep long, unit binary, cell int, code binary, miss float"), "codes")
     pairs = similar_classes(units_, codec, k, floor, dim, probes, rerank)
+    if floor is not None:
+        pairs = complete(units_, pairs, codec, k, floor, dim)
     if copies is None:
         ranked = pairs.select(F.col("rep").alias("seq"), "other", "similarity")
         order = F.row_number().over(_by("seq"))

@@ -60,6 +60,21 @@ def test_crowded_cells_are_searched_in_blocks(spark, monkeypatch):
     assert len(set(zip(got.seq - 1, got.other - 1)) & want) / len(want) >= 0.9
 
 
+def test_hot_group_of_near_but_not_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(n, "PASS", 700, raising=False)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1800, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=(600, 64))
+    cosine = rng.uniform(0.95, 0.998, size=600)
+    away -= (away @ x[0])[:, None] * x[0]
+    x[:600] = cosine[:, None] * x[0] + np.sqrt(1 - cosine**2)[:, None] * away / np.linalg.norm(away, axis=1, keepdims=True)
+    s, best = exact(x, 5)
+    want = {(i, j) for i in range(len(x)) for j in best[i] if s[i, j] >= 0.88}
+    got = n.most_similar(frame(spark, x), 5, 64, floor=0.88).toPandas()
+    assert len(want) == 3000 and set(zip(got.seq - 1, got.other - 1)) == want and len(got) == len(want)
+
+
 def test_small_tables(spark):
     assert n.most_similar(frame(spark, []), 5, 16).count() == 0
     assert n.most_similar(frame(spark, [np.ones(16)]), 5, 16).count() == 0
