@@ -5,8 +5,8 @@ Vectors that point the same way (up to a fine grid) form one class; classes are
 their members expanded, so any number of copies costs no more than one vector. A cell's
 queries and its neighbour cells' codes meet in blocks of bounded size; asymmetric
 distance tables rank the codes and the best candidates are reranked with exact cosines.
-With a floor, every cell that the bounds of cell walls and radii leave open is then
-searched too, so no pair is lost to the number of probes or candidates.
+Every cell that the bounds of cell walls and radii leave open is then searched too, so
+no neighbour is lost to the number of probes or candidates.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ CELLS_PER_ROOT, MAX_CELLS = 4, 16_384
 #: Neighbour cells searched from each cell, itself among them.
 PROBES = 10
 SUBSPACES, CODEWORDS = 16, 256
-#: Candidates of each query that the distance tables leave for exact reranking.
+#: Candidates of each query that the distance tables leave for exact reranking; they set the bound of the completing
+#: search, which finds what they lack.
 RERANK = 32
 #: Most queries, and most codes of one cell, in a block.
 BLOCK = 2048
@@ -359,8 +360,8 @@ def complete(units_: DataFrame, pairs: DataFrame, codec: Codec, k: int, floor: f
 def most_similar(rows: DataFrame, k: int = 5, dim: int = 64, floor: float | None = None, probes: int = PROBES, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """seq, other, similarity, rank: the k rows of highest cosine similarity to every row of (seq, vector).
 
-    floor leaves out neighbours of a lower similarity, lets their candidates be dropped early
-    by a bound that loses none, and has the search completed until it is exact. Rows with a null, short, long, zero or not finite
+    The search is completed until it is exact. floor leaves out neighbours of a lower
+    similarity, and lets their candidates be dropped early by a bound that loses none. Rows with a null, short, long, zero or not finite
     vector, or a null seq, take no part. Ties go to the lower seq. Vectors equal up to a
     grid of 1e-4 count as copies of similarity 1. Fewer than k others give fewer rows; an
     empty table gives none.
@@ -389,8 +390,7 @@ def most_similar(rows: DataFrame, k: int = 5, dim: int = 64, floor: float | None
     shared = spark.sparkContext.broadcast(codec)
     units_ = materialize(alone.mapInPandas(_codes_of(shared), "rep long, unit binary, cell int, code binary, miss float"), "codes")
     pairs = similar_classes(units_, codec, k, floor, dim, probes, rerank)
-    if floor is not None:
-        pairs = complete(units_, pairs, codec, k, floor, dim)
+    pairs = complete(units_, pairs, codec, k, floor, dim)
     if copies is None:
         ranked = pairs.select(F.col("rep").alias("seq"), "other", "similarity")
         order = F.row_number().over(_by("seq"))

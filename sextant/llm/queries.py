@@ -38,8 +38,8 @@ def p1_islands(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- 2
-def _neighbours(spark: SparkSession, d: str, floor: float | None) -> DataFrame:
-    return neighbours.most_similar(_chunks(spark, d, "vector"), k=5, dim=64, floor=floor)
+def _neighbours(spark: SparkSession, d: str, floor: float | None, rerank: int = neighbours.RERANK) -> DataFrame:
+    return neighbours.most_similar(_chunks(spark, d, "vector"), k=5, dim=64, floor=floor, rerank=rerank)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _neighbours(spark, d, None)
+    return _neighbours(spark, d, None, rerank=16)  # fewer, as no floor drops any on their way; the search is completed anyway
 
 
 # -- 3

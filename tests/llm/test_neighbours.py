@@ -75,6 +75,13 @@ def test_hot_group_of_near_but_not_equal_vectors(spark, monkeypatch):
     assert len(want) == 3000 and set(zip(got.seq - 1, got.other - 1)) == want and len(got) == len(want)
 
 
+def test_exact_without_a_floor(spark):
+    x = np.random.default_rng(10).normal(size=(900, 64))  # no clusters: true neighbours lie in cells far apart
+    _, best = exact(x, 5)
+    got = n.most_similar(frame(spark, x), 5, 64).toPandas()
+    assert set(zip(got.seq - 1, got.other - 1)) == {(i, j) for i in range(len(x)) for j in best[i]}
+
+
 def test_small_tables(spark):
     assert n.most_similar(frame(spark, []), 5, 16).count() == 0
     assert n.most_similar(frame(spark, [np.ones(16)]), 5, 16).count() == 0
