@@ -6,8 +6,9 @@ their symmetric difference). Cutting the hash range into segments and counting b
 segment embeds fingerprints as small integer vectors whose Manhattan distance never exceeds
 the Hamming distance. Two sets of similarity t differ in at most (1-t)/(1+t) of their summed
 sizes, which bounds the distance. The grid join looks for pairs that fall into the same unit
-cell of a stripe of fine segments; coarse popcounts then bound the whole distance from below,
-and the texts themselves decide.
+cell of a stripe of fine segments, which finds a pair with a high chance only; the rarest
+shingles of every set are joined too, which leaves no pair out. Coarse popcounts then bound
+the whole distance from below, and the texts themselves decide.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ WORDS = re.compile(r"[^\W_]+")
 #: Coarse segments of the popcount vector that bounds the distance of candidates.
 SEGMENTS = 64
 #: Expected number of shared cells of a pair just at the threshold. Candidates share at least SHARED cells (unrelated
-#: texts seldom share more than one), so a pair is missed with the Poisson probability of fewer: 8e-5 for 12 and 2.
+#: texts seldom share more than one), so the grid misses a pair of equal sizes with the Poisson probability of fewer:
+#: 8e-5 for 12 and 2, and more of unequal ones. The join of rare shingles has these.
 HITS, SHARED = 12.0, 2
+#: Shingle hashes are counted in so many buckets, on one text of SAMPLED, to know the rare ones. Any counts give every pair.
+BUCKETS, SAMPLED = 1 << 20, 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -101,8 +105,37 @@ def popcounts(fp: np.ndarray) -> np.ndarray:
     return np.bincount((fp >> np.uint64(58)).astype(np.int64), minlength=SEGMENTS).astype(np.uint16)
 
 
+def frequencies(rows: DataFrame, width: int) -> np.ndarray:
+    """How often the buckets of shingle hashes occur in a sample of the texts, at most 65,535."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for pdf in batches:
+            found = [fingerprint(text, width, hashes) for text in pdf["text"]]
+            bucket, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]) % np.uint64(BUCKETS), return_counts=True)
+            yield pd.DataFrame({"bucket": bucket.astype(np.int32), "n": n})
+
+    drawn = rows.select("seq", "text").filter("seq is not null and text is not null").filter(F.pmod(F.xxhash64("seq"), F.lit(SAMPLED)) == 0)
+    got = drawn.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()  # at most BUCKETS rows
+    counts = np.zeros(BUCKETS, np.uint16)
+    counts[got["bucket"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 65_535)
+    return counts
+
+
+def rarest(fp: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets at the threshold have one of them in common.
+
+    All sets are put into one order; partners have threshold of a set's members in common, so
+    the first common one has no more than the other members before it in either set.
+    """
+    most = len(fp) - int(np.ceil(threshold * len(fp) - 1e-9)) + 1
+    order = np.lexsort((fp, counts[(fp % np.uint64(BUCKETS)).astype(np.int64)]))
+    return fp[order[:most]].view(np.int64)
+
+
 def embed(rows: DataFrame, width: int, threshold: float, least: int) -> DataFrame:
-    """seq, size, h1, h2 (of the whole fingerprint), pops, cells for each (seq, text) with at least least shingles."""
+    """seq, size, h1, h2 (of the whole fingerprint), pops, cells, rare for each (seq, text) with at least least shingles."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequencies(rows, width))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -113,10 +146,10 @@ def embed(rows: DataFrame, width: int, threshold: float, least: int) -> DataFram
                 if len(fp) >= least:
                     h1 = int(_mix(fp).sum(dtype=np.uint64).view(np.int64))
                     h2 = int(_mix(fp + _C).sum(dtype=np.uint64).view(np.int64))
-                    out.append((seq, len(fp), h1, h2, popcounts(fp).tobytes(), cells(fp, threshold)))
-            yield pd.DataFrame(out, columns=["seq", "size", "h1", "h2", "pops", "cells"])
+                    out.append((seq, len(fp), h1, h2, popcounts(fp).tobytes(), cells(fp, threshold), rarest(fp, shared.value, threshold)))
+            yield pd.DataFrame(out, columns=["seq", "size", "h1", "h2", "pops", "cells", "rare"])
 
-    return rows.select("seq", "text").filter("seq is not null and text is not null").mapInPandas(work, "seq long, size int, h1 long, h2 long, pops binary, cells array<bigint>")
+    return rows.select("seq", "text").filter("seq is not null and text is not null").mapInPandas(work, "seq long, size int, h1 long, h2 long, pops binary, cells array<bigint>, rare array<bigint>")
 
 
 def _bounded(threshold: float):
@@ -176,9 +209,16 @@ def near_classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, least:
     keyed = reps.select("rep", "size", F.explode("cells").alias("cell"))
     a = keyed.select("cell", F.col("rep").alias("rep_a"), F.col("size").alias("size_a"))
     b = keyed.select("cell", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"))
-    sized = (F.col("size_b") >= threshold * F.col("size_a")) & (F.col("size_a") >= threshold * F.col("size_b"))
+    sized = (F.col("size_b") >= threshold * F.col("size_a") - 1e-9) & (F.col("size_a") >= threshold * F.col("size_b") - 1e-9)
     shared = a.join(b, "cell").filter((F.col("rep_a") < F.col("rep_b")) & sized).groupBy("rep_a", "rep_b").agg(F.count("*").alias("n"))
-    candidates = shared.filter(F.col("n") >= SHARED).select("rep_a", "rep_b")
+    by_grid = shared.filter(F.col("n") >= SHARED).select("rep_a", "rep_b")
+    placed = reps.select("rep", "size", F.posexplode("rare").alias("at", "shingle"))
+    x = placed.select("shingle", F.col("rep").alias("rep_a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
+    y = placed.select("shingle", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
+    # behind the first common shingle lie the others, so both sets must have enough left from there on
+    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    by_rare = x.join(y, "shingle").filter((F.col("rep_a") < F.col("rep_b")) & sized & left).select("rep_a", "rep_b")
+    candidates = by_grid.unionByName(by_rare).distinct()
     pops = reps.select("rep", "pops")
     close = (
         candidates.join(pops.select(F.col("rep").alias("rep_a"), F.col("pops").alias("pops_a")), "rep_a")

@@ -83,3 +83,17 @@ def test_pairs_at_the_threshold_share_cells():
             tried += 1
             missed += len(np.intersect1d(n.cells(x, 0.6), n.cells(y, 0.6))) < n.SHARED
     assert missed <= 1 + tried * 0.002
+
+
+def test_pairs_that_share_no_two_cells_are_found(spark, monkeypatch):
+    """Sets of unequal sizes at the threshold, as if the grid join had missed every pair."""
+    monkeypatch.setattr(n, "SHARED", 10**6)
+    rng = random.Random(5)
+    rows = []
+    for size in (6, 9, 30, 306, 511):
+        words = [f"x{rng.randrange(10**9)}" for _ in range(int(size / 0.6) + 2)]
+        rows += [(len(rows) + 1, " ".join(words)), (len(rows) + 2, " ".join(words[: size + 2]))]
+    rows += [(len(rows) + 1 + i, t) for i, (_, t) in enumerate(corpus(rng))]
+    for width, threshold, least in ((3, 0.6, 6), (5, 0.8, 1)):
+        got = [(r["seq_a"], r["seq_b"]) for r in n.near_pairs(*n.near_classes(frame(spark, rows), width, threshold, least)).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, width, threshold, least)
