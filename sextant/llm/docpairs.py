@@ -340,3 +340,43 @@ def island_pairs(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=cols)
 
     return files.select("file_id", "path", "lang", "content").mapInPandas(parse, "file_id long, path string, lang string, owner string, name string, signature string, doc string, code string")
+
+
+def parameter_types(signature: str) -> list[str]:
+    """The types of a Java signature's parameters, without annotations, modifiers, names and white space."""
+    parts, depth, item = [], 0, ""
+    inside = signature[signature.find("(") + 1 :]
+    for c in inside:
+        if c == ")" and depth == 0:
+            break
+        depth += (c in "<([") - (c in ">)]")
+        if c == "," and depth == 0:
+            parts.append(item)
+            item = ""
+        else:
+            item += c
+    types = []
+    for part in [*parts, item]:
+        part = re.sub(r"^\s*(?:final\s+)+", "", _unannotated(re.sub(r"^\s*final\s+", "", part)))
+        m = re.fullmatch(r"(?P<type>.*[\s>\].])(?P<name>[^\W\d][\w$]*)\s*(?P<dims>(?:\[\s*\]\s*)*)", part.strip(), re.DOTALL)
+        if m and m["name"] != "this":
+            types.append(re.sub(r"\s+", "", m["type"] + m["dims"]))
+    return types
+
+
+def method_code(files: DataFrame) -> DataFrame:
+    """key, code: the newest code of every Java method of source files, by owner#name(types) without white space.
+
+    files: file_id, lang, content, received_at.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for file_id, at, content in zip(pdf["file_id"], pdf["received_at"], pdf["content"]):
+                for x in java_islands(content):
+                    out.append((f"{x.owner}#{x.name}({','.join(parameter_types(x.signature))})", x.code, at, file_id))
+            yield pd.DataFrame(out, columns=["key", "code", "at", "file_id"])
+
+    java = files.filter("lang = 'java' and content is not null").select("file_id", F.col("received_at").cast("string").alias("received_at"), "content")
+    return java.mapInPandas(parse, "key string, code string, at string, file_id long").groupBy("key").agg(F.max_by("code", F.struct("at", "file_id")).alias("code"))

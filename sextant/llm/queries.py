@@ -25,11 +25,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Documented methods with the code of their newest METHOD chunk, null where there is none."""
+    """Documented methods with the code of their newest METHOD chunk, else of their newest source file, null where neither has it."""
     methods = docpairs.documented_methods(table(spark, d, "graph_events"))
     code = _chunks(spark, d, "fqn", "text", only="type = 'METHOD' and fqn is not null and text is not null")
     newest = code.groupBy("fqn").agg(F.max_by("text", "seq").alias("code"))
-    return methods.join(newest, methods["id"] == newest["fqn"], "left").select("id", "signature", "doc", "code")
+    files = table(spark, d, "source_files")
+    parsed = docpairs.method_code(files.withColumn("lang", syntax.language(F.col("path"), F.col("lang")))).withColumnRenamed("code", "parsed")
+    found = methods.join(newest, methods["id"] == newest["fqn"], "left").join(parsed, F.regexp_replace("id", r"\s+", "") == F.col("key"), "left")
+    return found.select("id", "signature", "doc", F.coalesce("code", "parsed").alias("code"))
 
 
 def p1_islands(spark: SparkSession, d: str) -> DataFrame:

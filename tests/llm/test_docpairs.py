@@ -79,3 +79,16 @@ def test_last_event_decides(make_events):
 def test_pairs_of_files(spark):
     files = spark.createDataFrame([(1, "A.java", "java", "class A { /** Keeps order. */ void f() {} }"), (2, "x", None, "?"), (3, "a.py", "python", None)], "file_id bigint, path string, lang string, content string")
     assert [(r["name"], r["doc"]) for r in d.island_pairs(files).collect()] == [("f", "Keeps order.")]
+
+
+def test_code_of_methods_without_a_chunk(spark, make_events, make_chunks, tmp_path):
+    from sextant.llm import queries
+
+    doc = "Keeps order of arrival."
+    make_events(make_events.node("p.A#f(Map<String, Long>, int[])", "void f(Map<String, Long> a, int[] b)", doc), make_events.node("p.A#f(int)", "void f(int a)", doc), make_events.node("p.A#g()", "void g()", doc)).write.parquet(f"{tmp_path}/graph_events.parquet")
+    make_chunks({"id": "g", "type": "METHOD", "fqn": "p.A#g()", "text": "chunk"}).write.parquet(f"{tmp_path}/chunks.parquet")
+    content = "package p; class A { void f(@X(1) final Map<String,Long> a, int b[]) { one(); } void f(long a) { two(); } void g() { three(); } }"
+    spark.createDataFrame([(1, "A.java", None, content, "2024-01-01")], "file_id bigint, path string, lang string, content string, received_at string").write.parquet(f"{tmp_path}/source_files.parquet")
+    got = {r["id"]: r["code"] for r in queries.p1_pairs(spark, str(tmp_path)).collect()}
+    assert got["p.A#g()"] == "chunk" and got["p.A#f(int)"] is None
+    assert got["p.A#f(Map<String, Long>, int[])"].endswith("{ one(); }")
