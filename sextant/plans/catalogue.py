@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from sextant.operators import compact, graph, ingest, markdown, monitor, search
 from sextant.operators.search import SearchFilter
 from sextant.plans import corpora
 from sextant.plans.oracles import ORACLES  # noqa: F401
-from sextant.session import shared_folder
+from sextant.session import scratch
 from sextant.sources import store
 from sextant.sources.tables import table
 from sextant.streaming import sync
@@ -358,7 +357,7 @@ def section_packer(spark, d):
 def stream_upsert(spark, d):
     """The last event of each user, kept by a stream that merges its batches into a snapshot table."""
     source = table(spark, d, "events")
-    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    folder = scratch(spark, "events")
     kept = store.SnapshotStore(spark, f"{folder}/store")
     rows = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
     sync.upsert_stream(rows.drop("props"), kept, "last_events", f"{folder}/checkpoint", ("user_id",), ("ts", "event_id")).awaitTermination()
