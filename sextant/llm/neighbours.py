@@ -13,18 +13,19 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.session import materialize
 
 #: Vectors the centroids and codebooks are fitted on, at most about so many.
-SAMPLE = 40_000
+SAMPLE = 65_536
 #: Cells grow with the square root of the rows; at most so many, which bounds what is broadcast.
 CELLS_PER_ROOT, MAX_CELLS = 4, 16_384
 #: Neighbour cells searched from each cell, itself among them.
@@ -35,6 +36,8 @@ SUBSPACES, CODEWORDS = 16, 256
 RERANK = 32
 #: Most queries, and most codes of one cell, in a block.
 BLOCK = 2048
+#: Queries of one cell that the completing search takes at a time.
+QUERIES = 256
 #: Vectors, about, that one pass of the completing search broadcasts (16 MB at 64 entries).
 PASS = 65_536
 GRID = 1e-4
@@ -87,31 +90,65 @@ class Codec:
         return cell, codes, np.sqrt(miss)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Asymmetric tables (queries, subspaces, codewords): inner products of query parts and codewords."""
+        """Asymmetric tables (subspaces, codewords, queries): inner products of codewords and query parts."""
         m, _, d = self.codebooks.shape
-        return np.einsum("qmd,mcd->qmc", q.reshape(len(q), m, d), self.codebooks, optimize=True).astype(np.float32)
+        return self.codebooks @ q.reshape(len(q), m, d).transpose(1, 2, 0)
 
 
-def unit(vectors: np.ndarray) -> np.ndarray:
-    x = vectors.astype(np.float64)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def usable(vector: Column, dim: int) -> Column:
-    """Vectors of that length without nulls, infinities and NaN that are not all zero."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 3.0e38))
-    return F.coalesce((F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+def _binaries(x: np.ndarray) -> pa.Array:
+    """The rows of a C-ordered array as one Arrow column of binaries."""
+    width = x.strides[0] if len(x) else 0
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * width).astype(np.int32)), pa.py_buffer(x)])
+
+
+def directions(rows: DataFrame, dim: int) -> DataFrame:
+    """seq, unit (normalised, single precision), h1, h2 (of the direction on the grid) of every usable (seq, vector).
+
+    Vectors of that length without nulls, infinities and NaN that are not all zero are usable.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            good = np.isfinite(x).all(axis=1) & (np.abs(x) < 3.0e38).all(axis=1) & (x != 0).any(axis=1)
+            x, seq = x[good], batch.column(0).to_numpy(zero_copy_only=False)[good]
+            x = x / np.abs(x).max(axis=1, keepdims=True, initial=0.0)  # so that no square under- or overflows
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            grid = np.ascontiguousarray(np.rint(x / GRID).astype(np.int64).T).view(np.uint64)
+            h1, h2 = np.zeros(len(x), np.uint64), np.full(len(x), 7, np.uint64)
+            for j in range(dim):
+                h1 = _mixed(h1 * np.uint64(0x9E3779B97F4A7C15) + grid[j])
+                h2 = _mixed(h2 * np.uint64(0xC2B2AE3D27D4EB4F) ^ grid[j])
+            yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), _binaries(np.ascontiguousarray(x, np.float32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["seq", "unit", "h1", "h2"])
+
+    right = rows.filter(F.col("seq").isNotNull() & (F.size("vector") == dim)).select(F.col("seq").cast("long").alias("seq"), "vector")
+    return right.mapInArrow(work, "seq long, unit binary, h1 long, h2 long")
+
+
+def _matrix(units_: Iterable[bytes], dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(units_), np.float32).reshape(-1, dim)
+
+
+def cells_of(n: int) -> int:
+    """Cells for n vectors: they grow with the square root."""
+    return int(min(MAX_CELLS, max(1, CELLS_PER_ROOT * math.sqrt(n))))
 
 
 def fit(rows: DataFrame, dim: int, n: int, sample: int = SAMPLE, seed: int = 5) -> Codec:
-    """Cells and codebooks from a seeded sample of (seq, vector) of at most about sample rows."""
+    """Cells and codebooks from a seeded sample of (seq, unit): 32 vectors a cell, about, and at most about sample of them."""
+    wanted = min(sample, max(16_384, 32 * cells_of(n)))
     draw = F.pmod(F.xxhash64("seq", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    got = rows.filter(draw < min(1.0, sample / max(1, n))).select("seq", "vector").limit(2 * sample).toPandas().sort_values("seq")
+    got = rows.filter(draw < min(1.0, wanted / max(1, n))).select("seq", "unit").toPandas().sort_values("seq")
     if got.empty:
-        got = rows.select("seq", "vector").limit(1).toPandas()
-    x = unit(np.stack(got["vector"].to_numpy()))
-    cells = int(min(MAX_CELLS, max(1, CELLS_PER_ROOT * math.sqrt(n)), max(1, len(x) // 4)))
-    centroids = kmeans(x, cells, 6, seed)
+        got = rows.select("seq", "unit").limit(1).toPandas()
+    x = _matrix(got["unit"], dim)
+    centroids = kmeans(x, min(cells_of(n), max(1, len(x) // 4)), 6, seed)
     rest = x - centroids[_nearest(x, centroids)[0]]
     m = SUBSPACES if dim % SUBSPACES == 0 else 1
     d = dim // m
@@ -124,14 +161,12 @@ def fit(rows: DataFrame, dim: int, n: int, sample: int = SAMPLE, seed: int = 5)
     return Codec(centroids.astype(np.float32), books)
 
 
-def _codes_of(codec) -> object:
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = unit(np.stack(pdf["vector"].to_numpy()))
-            cell, codes, miss = codec.value.encode(x)
-            yield pd.DataFrame({"rep": pdf["seq"], "unit": [v.tobytes() for v in x], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in codes], "miss": miss})
+def _codes_of(codec, dim: int) -> object:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units_ = batch.column(1)
+            cell, codes, miss = codec.value.encode(_matrix(units_.to_pylist(), dim))
+            yield pa.RecordBatch.from_arrays([batch.column(0), units_, pa.array(cell, pa.int32()), _binaries(codes), pa.array(miss, pa.float32())], ["rep", "unit", "cell", "code", "miss"])
 
     return encode
 
@@ -152,23 +187,28 @@ def _ranked(codec, rerank: int, floor: float | None, dim: int) -> object:
         code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(ids), -1)
         miss = codes["miss"].to_numpy().astype(np.float32)
         own, inverse = np.unique(cells, return_inverse=True)
-        columns = [np.ascontiguousarray(code[:, j]).astype(np.intp) for j in range(code.shape[1])]
+        columns = code.T.astype(np.intp)
         out = []
         for a in range(0, len(q), 256):
-            part = q[a : a + 256]
-            tables = c.tables(part)
-            score = (part @ c.centroids[own].T)[:, inverse]
-            for j, column in enumerate(columns):
-                score += np.take(tables[:, j, :], column, axis=1)
-            score[q_rep[a : a + 256, None] == ids[None, :]] = -np.inf
-            keep = min(rerank, score.shape[1])
-            top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-            value = np.take_along_axis(score, top, axis=1)
-            good = np.isfinite(value)
-            if floor is not None:  # an estimate misses the true cosine by no more than the length the code misses
-                good &= value + miss[top] >= floor - 1e-4
-            row, col = np.nonzero(good)
-            out.append((q_rep[a + row], ids[top[row, col]], value[row, col]))
+            part, asker = q[a : a + 256], q_rep[a : a + 256]
+            score = (c.centroids[own] @ part.T)[inverse]  # a row for each code
+            for table, column in zip(c.tables(part), columns):
+                score += table[column]
+            if floor is None:
+                score[ids[:, None] == asker[None, :]] = -np.inf
+                keep = min(rerank, len(score))
+                col = np.argpartition(-score.T, keep - 1, axis=1)[:, :keep].ravel()
+                row = np.repeat(np.arange(len(part)), keep)
+            else:  # an estimate misses the true cosine by no more than the length the code misses
+                flat = np.flatnonzero(score >= (floor - 1e-4 - miss)[:, None])
+                col, row = np.divmod(flat, len(part))
+            value = score[col, row]
+            good = np.isfinite(value) & (ids[col] != asker[row])
+            row, col, value = row[good], col[good], value[good]
+            order = np.lexsort((-value, row))
+            row, col, value = row[order], col[order], value[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < rerank
+            out.append((asker[row[kept]], ids[col[kept]], value[kept]))
         found = pd.DataFrame({"rep": np.concatenate([o[0] for o in out]), "other": np.concatenate([o[1] for o in out]), "estimate": np.concatenate([o[2] for o in out])})
         found.insert(0, "cell", np.int32(key[0]))
         found.insert(1, "block", np.int32(key[1]))
@@ -222,8 +262,8 @@ def similar_classes(units_: DataFrame, codec: Codec, k: int, floor: float | None
         for source in near[home].tolist():
             homes[source].append(home)
             parts[home] = max(parts[home], blocks[source])
-    plan = spark.createDataFrame(pd.DataFrame({"cell": np.arange(cells, dtype=np.int32), "blocks": blocks.astype(np.int32), "parts": parts.astype(np.int32), "targets": [[(h, int(blocks[h])) for h in x] for x in homes]}), "cell int, blocks int, parts int, targets array<struct<home:int,n:int>>")
-    plan = F.broadcast(plan)  # MAX_CELLS rows with probes homes each on average
+    plan = pa.table({"cell": pa.array(range(cells), pa.int32()), "blocks": pa.array(blocks, pa.int32()), "parts": pa.array(parts, pa.int32()), "targets": pa.array([[{"home": h, "n": int(blocks[h])} for h in x] for x in homes], pa.list_(pa.struct([("home", pa.int32()), ("n", pa.int32())])))})
+    plan = F.broadcast(spark.createDataFrame(plan))  # MAX_CELLS rows with probes homes each on average
     placed = units_.join(plan, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     empty = F.lit(None)
     asking = placed.select("cell", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "unit", empty.cast("int").alias("source"), empty.cast("binary").alias("code"), empty.cast("float").alias("miss"))
@@ -232,9 +272,9 @@ def similar_classes(units_: DataFrame, codec: Codec, k: int, floor: float | None
         .select(F.col("t.home").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("t.n") - 1)).alias("block"), "part", "rep", empty.cast("binary").alias("unit"), "source", "code", "miss")
     )
     found = asking.unionByName(offered).groupBy("cell", "block", "part").applyInPandas(_ranked(shared, rerank, floor, dim), "cell int, block int, rep long, other long, estimate float")
-    if parts.max() > 1:  # candidates of several code blocks: the best of them all
-        best = F.slice(F.sort_array(F.collect_list(F.struct("estimate", "other")), asc=False), 1, rerank)
-        found = found.groupBy("cell", "block", "rep").agg(best.alias("c")).select("cell", "block", "rep", F.explode("c").alias("c")).select("cell", "block", "rep", F.col("c.other").alias("other"))
+    if parts.max() > 1:  # candidates of several code blocks: the best of them all, of which each map task passes on no more either
+        best = Window.partitionBy("cell", "block", "rep").orderBy(F.col("estimate").desc(), "other")
+        found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= rerank).drop("r")
     wanted = found.groupBy("cell", "block", "other").agg(F.collect_list("rep").alias("askers"))
     vectors = units_.select(F.col("rep").alias("other"), "unit")
     candidates = wanted.join(vectors, "other").select("cell", "block", F.col("other").alias("rep"), "unit", "askers")
@@ -249,20 +289,20 @@ class Source:
     rep: np.ndarray
     unit: np.ndarray
     cells: np.ndarray
-    starts: np.ndarray  # of each cell, and the end
+    sizes: np.ndarray  # of each cell
     radius: np.ndarray  # of each cell, by the vectors of this pass
 
     @classmethod
     def of(cls, rep: np.ndarray, unit_: np.ndarray, cell: np.ndarray, centroids: np.ndarray) -> Source:
         order = np.lexsort((rep, cell))
         rep, unit_, cell = rep[order], unit_[order], cell[order]
-        cells, starts = np.unique(cell, return_index=True)
+        cells, starts, sizes = np.unique(cell, return_index=True, return_counts=True)
         far = np.linalg.norm(unit_ - centroids[cell], axis=1)
-        return cls(rep, unit_, cells, np.append(starts, len(rep)), np.maximum.reduceat(far, starts))
+        return cls(rep, unit_, cells, sizes, np.maximum.reduceat(far, starts))
 
 
-def _open_cells(q: np.ndarray, home: np.ndarray, least: np.ndarray, centroids: np.ndarray, source: Source) -> np.ndarray:
-    """(queries, cells of the source): whether the cell may hold a vector of cosine least or more.
+def _open_cells(q: np.ndarray, home: int, least: np.ndarray, centroids: np.ndarray, source: Source) -> np.ndarray:
+    """Which cells of the source may hold, for some query of one home cell, a vector of its cosine least or more.
 
     A vector of another cell lies beyond the wall halfway between both centroids, and none
     lies further from its centroid than the radius; both bound the distance from below.
@@ -270,56 +310,50 @@ def _open_cells(q: np.ndarray, home: np.ndarray, least: np.ndarray, centroids: n
     there, here = centroids[source.cells], centroids[home]
     square = (there * there).sum(axis=1)
     to = np.maximum(1 + square[None, :] - 2 * q @ there.T, 0)
-    own = 1 + (here * here).sum(axis=1) - 2 * np.einsum("ij,ij->i", q, here)
-    homes, where = np.unique(home, return_inverse=True)
-    c = centroids[homes]
-    between = np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] + square[None, :] - 2 * c @ there.T, 1e-12))
-    wall = (to - own[:, None] - 1e-5) / (2 * between[where])  # 1e-5, 1e-4: more than single precision misses
+    own = 1 + here @ here - 2 * q @ here
+    between = np.sqrt(np.maximum(here @ here + square - 2 * there @ here, 1e-12))
+    wall = (to - own[:, None] - 1e-5) / (2 * between)  # 1e-5, 1e-4: more than single precision misses
     reach = np.sqrt(np.maximum(2 - 2 * least, 0)) + 1e-4
-    return np.maximum(wall, np.sqrt(to) - source.radius[None, :]) <= reach[:, None]
+    return (np.maximum(wall, np.sqrt(to) - source.radius) <= reach[:, None]).any(axis=0)
 
 
 def _completed(codec, source, k: int, floor: float | None, dim: int) -> object:
-    """The best k of the source for each query that reach its bound, by exact cosines in every open cell."""
+    """The best k of the source for each query that reach its bound, by exact cosines in every open cell.
+
+    The queries come ordered by cell, so those of one cell are searched together.
+    """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centroids, s = codec.value.centroids, source.value
+        space = np.empty((QUERIES, BLOCK), np.float32)
         for pdf in batches:
-            for a in range(0, len(pdf), 4096):
-                part = pdf.iloc[a : a + 4096]
-                q = np.frombuffer(b"".join(part["unit"]), np.float32).reshape(-1, dim)
-                rep, least = part["rep"].to_numpy(), part["least"].to_numpy().copy()
-                best, other = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64)
-                open_ = np.asfortranarray(_open_cells(q, part["cell"].to_numpy(), least, centroids, s))
-                for j in range(len(s.cells)):
-                    rows = np.flatnonzero(open_[:, j])
-                    if not len(rows):
+            unit_, reps, bounds, homes = _matrix(pdf["unit"], dim), pdf["rep"].to_numpy(), pdf["least"].to_numpy(), pdf["cell"].to_numpy()
+            edges = np.flatnonzero(np.diff(homes, prepend=-1, append=-1)).tolist() if len(pdf) else []
+            for begin, end in ((a, min(a + QUERIES, z)) for y, z in zip(edges, edges[1:]) for a in range(y, z, QUERIES)):
+                q, rep, least = unit_[begin:end], reps[begin:end], bounds[begin:end]
+                open_ = np.repeat(_open_cells(q, homes[begin], least, centroids, s), s.sizes)
+                columns = None if open_.mean() > 0.7 else np.flatnonzero(open_)  # a copy of most vectors costs more than the others' products
+                vectors, names = (s.unit, s.rep) if columns is None else (s.unit[columns], s.rep[columns])
+                r, name, cosine = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+                lowest = (least - 1e-6).astype(np.float32)
+                for b in range(0, len(vectors), BLOCK):
+                    v = vectors[b : b + BLOCK]
+                    near = np.matmul(q, v.T, out=space[: len(q), : len(v)] if len(v) == BLOCK else None)
+                    flat = np.flatnonzero(near >= lowest[:, None])
+                    if not len(flat):
                         continue
-                    begin, end = s.starts[j], s.starts[j + 1]
-                    for b in range(begin, end, BLOCK):
-                        v = s.unit[b : min(b + BLOCK, end)]
-                        hit = q[rows] @ v.T >= (least[rows] - 1e-6).astype(np.float32)[:, None]
-                        if not hit.any():
-                            continue
-                        r, m = np.nonzero(hit)
-                        r, m = rows[r], m + b
-                        cosine = np.einsum("ij,ij->i", q[r].astype(np.float64), s.unit[m].astype(np.float64))
-                        good = rep[r] != s.rep[m]
-                        if floor is not None:
-                            good &= cosine >= floor
-                        r, m, cosine = r[good], m[good], cosine[good]
-                        touched = np.unique(r)
-                        row = np.concatenate([r, np.repeat(touched, k)])
-                        value = np.concatenate([cosine, best[touched].ravel()])
-                        name = np.concatenate([s.rep[m], other[touched].ravel()])
-                        order = np.lexsort((name, -value, row))
-                        row, value, name = row[order], value[order], name[order]
-                        rank = np.arange(len(row)) - np.searchsorted(row, row)
-                        kept = rank < k
-                        best[row[kept], rank[kept]], other[row[kept], rank[kept]] = value[kept], name[kept]
-                        least[touched] = np.maximum(least[touched], best[touched, k - 1])
-                r, c = np.nonzero(np.isfinite(best))
-                yield pd.DataFrame({"rep": rep[r], "other": other[r, c], "similarity": best[r, c]})
+                    i, m = np.divmod(flat, len(v))
+                    m += b
+                    c = np.einsum("ij,ij->i", q[i].astype(np.float64), vectors[m].astype(np.float64))
+                    good = (rep[i] != names[m]) & (c >= (-2.0 if floor is None else floor))
+                    r, name, cosine = np.append(r, i[good]), np.append(name, names[m[good]]), np.append(cosine, c[good])
+                    order = np.lexsort((name, -cosine, r))
+                    r, name, cosine = r[order], name[order], cosine[order]
+                    rank = np.arange(len(r)) - np.searchsorted(r, r)
+                    last = rank == k - 1
+                    lowest[r[last]] = np.maximum(lowest[r[last]], cosine[last] - 1e-6)
+                    r, name, cosine = r[rank < k], name[rank < k], cosine[rank < k]
+                yield pd.DataFrame({"rep": rep[r], "other": name, "similarity": cosine})
 
     return search
 
@@ -335,11 +369,12 @@ def complete(units_: DataFrame, pairs: DataFrame, codec: Codec, k: int, floor: f
     shared = spark.sparkContext.broadcast(codec)
     bounds = pairs.groupBy("rep").agg(F.count("*").alias("n"), F.min("similarity").alias("kth")).filter(F.col("n") >= k).select("rep", "kth")
     lowest = F.lit(-2.0 if floor is None else float(floor))
-    asking = materialize(units_.join(bounds, "rep", "left").select("rep", "unit", "cell", F.coalesce("kth", lowest).alias("least")), "bounds")
+    asking = units_.join(bounds, "rep", "left").select("rep", "unit", "cell", F.coalesce("kth", lowest).alias("least"))
+    asking = materialize(asking.repartitionByRange("cell", "rep").sortWithinPartitions("cell", "rep"), "bounds")
     sizes = sorted((r["cell"], r["n"]) for r in units_.groupBy("cell").agg(F.count("*").alias("n")).collect())  # at most MAX_CELLS
     start = np.cumsum([0] + [n for _, n in sizes])
     passes = max(1, -(-int(start[-1]) // PASS))
-    plan = spark.createDataFrame([(c, n, int(s)) for (c, n), s in zip(sizes, start)], "cell int, n long, start long")
+    plan = spark.createDataFrame(pa.table({"cell": pa.array([c for c, _ in sizes], pa.int32()), "n": pa.array([n for _, n in sizes], pa.int64()), "start": pa.array(start[:-1], pa.int64())}))
     turn = ((F.col("start") + F.pmod(F.xxhash64("rep"), F.col("n"))) * passes / F.lit(int(start[-1]))).cast("int")
     placed = units_.join(F.broadcast(plan), "cell").withColumn("turn", turn)
     found = []
@@ -347,7 +382,7 @@ def complete(units_: DataFrame, pairs: DataFrame, codec: Codec, k: int, floor: f
         got = placed.filter(F.col("turn") == i).select("rep", "unit", "cell").toArrow()
         if not got.num_rows:
             continue
-        vectors = np.frombuffer(b"".join(got["unit"].to_pylist()), np.float32).reshape(-1, dim)
+        vectors = _matrix(got["unit"].to_pylist(), dim)
         source = spark.sparkContext.broadcast(Source.of(got["rep"].to_numpy(), vectors, got["cell"].to_numpy(), codec.centroids))
         found.append(materialize(asking.mapInPandas(_completed(shared, source, k, floor, dim), "rep long, other long, similarity double"), "completed"))
         source.destroy()
@@ -370,25 +405,23 @@ def most_similar(rows: DataFrame, k: int = 5, dim: int = 64, floor: float | None
         raise ValueError("k must be positive")
     spark = rows.sparkSession
     schema = "seq long, other long, similarity double, rank int"
-    good = rows.select("seq", "vector").filter(F.col("seq").isNotNull() & usable(F.col("vector"), dim))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    grid = F.transform("vector", lambda x: F.round(x.cast("double") / norm / GRID).cast("int"))
-    keyed = materialize(good.select("seq", "vector", F.xxhash64(grid).alias("h1"), F.xxhash64(grid, F.lit(7)).alias("h2")), "vectors")
+    keyed = materialize(directions(rows.select("seq", "vector"), dim), "vectors")
     n = keyed.count()
     if not n:
         return spark.createDataFrame([], schema)
-    # Classes of equal directions: salted first, so that a class of a third of all rows is not one task's list.
-    first = lambda c, m: F.slice(F.sort_array(c), 1, m)
-    salted = keyed.groupBy("h1", "h2", F.pmod(F.xxhash64("seq"), F.lit(64)).alias("salt")).agg(F.count("*").alias("n"), first(F.collect_list("seq"), k + 1).alias("s"))
-    classes = salted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), first(F.flatten(F.collect_list("s")), k + 1).alias("members")).withColumn("rep", F.col("members")[0])
-    several = materialize(classes.filter("n > 1"), "copies")
-    copies = keyed.join(several.select("h1", "h2", "rep"), ["h1", "h2"]).select("seq", "rep") if several.take(1) else None
-    alone = keyed.select("seq", "vector")
+    # Classes of equal directions, folded map-side; of each at most the first k + 1 members are listed.
+    classes = keyed.groupBy("h1", "h2").agg(F.min("seq").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    several = materialize(classes, "copies")
+    copies = keyed.select("seq", "h1", "h2").join(several.select("h1", "h2", "rep"), ["h1", "h2"]).select("seq", "rep") if several.take(1) else None
+    alone = keyed.select("seq", "unit")
     if copies is not None:
+        copies = materialize(copies, "members")
         alone = alone.join(copies.filter("seq != rep").select("seq"), "seq", "left_anti")
+        first = copies.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("seq"))).filter(F.col("r") <= k + 1)
+        several = several.join(first.groupBy("rep").agg(F.array_sort(F.collect_list("seq")).alias("members")), "rep").select("rep", "n", "members")
     codec = fit(keyed, dim, n, sample)
     shared = spark.sparkContext.broadcast(codec)
-    units_ = materialize(alone.mapInPandas(_codes_of(shared), "rep long, unit binary, cell int, code binary, miss float"), "codes")
+    units_ = materialize(alone.mapInArrow(_codes_of(shared, dim), "rep long, unit binary, cell int, code binary, miss float"), "codes")
     pairs = similar_classes(units_, codec, k, floor, dim, probes, rerank)
     pairs = complete(units_, pairs, codec, k, floor, dim)
     if copies is None:
@@ -411,8 +444,6 @@ def most_similar(rows: DataFrame, k: int = 5, dim: int = 64, floor: float | None
 
 
 def _by(column: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(column).orderBy(F.col("similarity").desc(), F.col("other"))
 
 
