@@ -1,13 +1,15 @@
-"""Near-duplicate records: segment popcounts of shingle fingerprints, a grid join, exact verification.
+"""Near-duplicate records: rare shingles in one order, segment popcounts, exact verification.
 
 The fingerprint of a text is the wide bitmap of its shingle hashes (one bit per 64-bit
 hash, so equal sets have equal fingerprints and the Hamming distance of two is the size of
 their symmetric difference). Cutting the hash range into segments and counting bits per
 segment embeds fingerprints as small integer vectors whose Manhattan distance never exceeds
 the Hamming distance. Two sets of similarity t differ in at most (1-t)/(1+t) of their summed
-sizes, which bounds the distance. The grid join looks for pairs that fall into the same unit
-cell of a stripe of fine segments, which finds a pair with a high chance only; the rarest
-shingles of every set are joined too, which leaves no pair out. Coarse popcounts then bound
+sizes, which bounds the distance. Popcounts of segments wide enough for a grid cannot part
+texts at such thresholds (the bound is about what two unrelated texts reach), so the join is
+on the finest cells, single bits: the rarest ones of every set in one order of all, so many
+that no pair can be without a common one. What lies before a common bit in both orders is a
+part of the distance, and a range condition of the join; the segments' popcounts then bound
 the whole distance from below, and the texts themselves decide.
 """
 
@@ -24,14 +26,12 @@ from pyspark.sql import functions as F
 from sextant.session import materialize
 
 WORDS = re.compile(r"[^\W_]+")
-#: Coarse segments of the popcount vector that bounds the distance of candidates.
+#: Segments of the popcount vector that bounds the distance of candidates.
 SEGMENTS = 64
-#: Expected number of shared cells of a pair just at the threshold. Candidates share at least SHARED cells (unrelated
-#: texts seldom share more than one), so the grid misses a pair of equal sizes with the Poisson probability of fewer:
-#: 8e-5 for 12 and 2, and more of unequal ones. The join of rare shingles has these.
-HITS, SHARED = 12.0, 2
-#: Shingle hashes are counted in so many buckets, on one text of SAMPLED, to know the rare ones. Any counts give every pair.
-BUCKETS, SAMPLED = 1 << 20, 16
+#: Shingle hashes are counted in so many buckets to order them by rareness. Any counts give every pair.
+BUCKETS = 1 << 18
+#: Members of one class that are paired with all others in one task.
+PART = 2048
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -52,73 +52,39 @@ class WordHashes(dict):
 
 
 def fingerprint(text: str, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's runs of width words."""
+    """Sorted distinct 64-bit hashes of the text's runs of width words; a shorter text is one run."""
     words = WORDS.findall(text.lower())
+    width = min(width, len(words))
     n = len(words) - width + 1
-    if n <= 0:
+    if not words:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    h = np.zeros(n, np.uint64)
+    h = np.full(n, width, np.uint64)
     for i in range(width):
         h = _mix(h * _A + w[i : i + n] + _B)
     return np.unique(h)
 
 
-def _stripes(level: int, threshold: float) -> tuple[int, int]:
-    """For sets of 2**level members: stripes per striping, and cells each set is put into."""
-    size = 1 << level
-    stripes = max(2, size // 2)
-    common = 2 * threshold / (1 + threshold)  # share of a set's members that a partner at the threshold has too
-    per, odd = size / stripes * common, 2 * size / stripes * (1 - common)
-    chance = np.exp(-odd) * (1 - np.exp(-per) * (1 + per))
-    # sets may be up to twice that size, with other chances; the worse one counts
-    chance = min(chance, np.exp(-2 * odd) * (1 - np.exp(-2 * per) * (1 + 2 * per)))
-    return stripes, int(np.ceil(HITS / chance))
-
-
-def cells(fp: np.ndarray, threshold: float) -> np.ndarray:
-    """Grid cells of a fingerprint: a hash of (level, striping, stripe, popcounts of its fine segments) for each stripe with two or more bits."""
-    size = len(fp)
-    top = int(size).bit_length() - 1
-    low = max(0, int(np.ceil(threshold * size)).bit_length() - 1)
-    out = []
-    for level in range(low, top + 1):
-        stripes, wanted = _stripes(level, threshold)
-        for striping in range(-(-wanted // stripes)):
-            salt = np.uint64((level << 32 | striping << 1 | 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            placed = _mix(fp ^ salt)
-            # a fine segment is so narrow that it holds one bit: a stripe's popcount vector is its set of segments
-            stripe = (placed >> np.uint64(32)) * np.uint64(stripes) >> np.uint64(32)
-            first = min(stripes, wanted - striping * stripes)
-            inside = stripe < np.uint64(first)
-            s, p = stripe[inside].astype(np.int64), placed[inside]
-            n = np.bincount(s, minlength=first)
-            total = np.zeros(first, np.uint64)
-            np.add.at(total, s, _mix(p + _C))
-            at = np.flatnonzero(n >= 2)
-            out.append(_mix(total[at] ^ _mix(at.astype(np.uint64) * _B + salt)))
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
-
-
 def popcounts(fp: np.ndarray) -> np.ndarray:
-    """Bits in each of SEGMENTS equal ranges of the hash values."""
-    return np.bincount((fp >> np.uint64(58)).astype(np.int64), minlength=SEGMENTS).astype(np.uint16)
+    """Bits in each of SEGMENTS equal ranges of the hash values; cut at 65,535, which lessens no distance's truth as a lower bound."""
+    return np.minimum(np.bincount((fp >> np.uint64(58)).astype(np.int64), minlength=SEGMENTS), 65_535).astype(np.uint16)
 
 
 def frequencies(rows: DataFrame, width: int) -> np.ndarray:
-    """How often the buckets of shingle hashes occur in a sample of the texts, at most 65,535."""
+    """How often the buckets of shingle hashes occur in all texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, n = WordHashes(), np.zeros(BUCKETS, np.int64)
         for pdf in batches:
             found = [fingerprint(text, width, hashes) for text in pdf["text"]]
-            bucket, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]) % np.uint64(BUCKETS), return_counts=True)
-            yield pd.DataFrame({"bucket": bucket.astype(np.int32), "n": n})
-
-    drawn = rows.select("seq", "text").filter("seq is not null and text is not null").filter(F.pmod(F.xxhash64("seq"), F.lit(SAMPLED)) == 0)
-    got = drawn.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()  # at most BUCKETS rows
-    counts = np.zeros(BUCKETS, np.uint16)
-    counts[got["bucket"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 65_535)
+            n += np.bincount((np.concatenate([np.empty(0, np.uint64), *found]) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": n[at]})  # one row a bucket from each task
+
+    texts = rows.select("text").filter("seq is not null and text is not null")
+    got = texts.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return counts
 
 
@@ -134,7 +100,7 @@ def rarest(fp: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def embed(rows: DataFrame, width: int, threshold: float, least: int) -> DataFrame:
-    """seq, size, h1, h2 (of the whole fingerprint), pops, cells, rare for each (seq, text) with at least least shingles."""
+    """seq, size, h1, h2 (of the whole fingerprint), pops, rare for each (seq, text) with at least least shingles."""
     shared = rows.sparkSession.sparkContext.broadcast(frequencies(rows, width))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,10 +112,10 @@ def embed(rows: DataFrame, width: int, threshold: float, least: int) -> DataFram
                 if len(fp) >= least:
                     h1 = int(_mix(fp).sum(dtype=np.uint64).view(np.int64))
                     h2 = int(_mix(fp + _C).sum(dtype=np.uint64).view(np.int64))
-                    out.append((seq, len(fp), h1, h2, popcounts(fp).tobytes(), cells(fp, threshold), rarest(fp, shared.value, threshold)))
-            yield pd.DataFrame(out, columns=["seq", "size", "h1", "h2", "pops", "cells", "rare"])
+                    out.append((seq, len(fp), h1, h2, popcounts(fp).tobytes(), rarest(fp, shared.value, threshold)))
+            yield pd.DataFrame(out, columns=["seq", "size", "h1", "h2", "pops", "rare"])
 
-    return rows.select("seq", "text").filter("seq is not null and text is not null").mapInPandas(work, "seq long, size int, h1 long, h2 long, pops binary, cells array<bigint>, rare array<bigint>")
+    return rows.select("seq", "text").filter("seq is not null and text is not null").mapInPandas(work, "seq long, size int, h1 long, h2 long, pops binary, rare array<bigint>")
 
 
 def _bounded(threshold: float):
@@ -161,7 +127,7 @@ def _bounded(threshold: float):
             if len(pdf):
                 a = np.frombuffer(b"".join(pdf["pops_a"]), np.uint16).reshape(len(pdf), -1).astype(np.int32)
                 b = np.frombuffer(b"".join(pdf["pops_b"]), np.uint16).reshape(len(pdf), -1).astype(np.int32)
-                bound = most * (a.sum(axis=1) + b.sum(axis=1)) + 1e-9
+                bound = most * (pdf["size_a"] + pdf["size_b"]).to_numpy() + 1e-9
                 pdf = pdf[np.abs(a - b).sum(axis=1) <= bound]
             yield pdf[["rep_a", "rep_b"]]
 
@@ -173,7 +139,7 @@ def _verified(threshold: float, width: int):
 
     def sets(text: str) -> set[tuple[str, ...]]:
         w = WORDS.findall(text.lower())
-        return set(zip(*[w[i:] for i in range(width)]))
+        return set(zip(*[w[i:] for i in range(min(width, len(w)))]))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -194,9 +160,10 @@ def _verified(threshold: float, width: int):
 def near_classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """Two tables: members (seq, rep) and links (rep_a, rep_b, similarity) between classes of equal shingle sets.
 
-    Texts with fewer than least shingles (null and empty ones too) take no part. Rows with
-    equal shingle sets form one class, named by its lowest seq; links join different
-    classes of similarity threshold or more, rep_a < rep_b. seq must be unique.
+    Texts with fewer than least shingles (null ones and those without words too) take no part; a text
+    of fewer words than a shingle counts as one. Rows with equal shingle sets form one class, named
+    by its lowest seq; links join different classes of similarity threshold or more, rep_a < rep_b,
+    none is left out. seq must be unique.
     """
     embedded = materialize(embed(rows, width, threshold, least), "fingerprints")
     # Copies agree in everything that is kept here, and map-side aggregation folds them before the shuffle.
@@ -206,25 +173,16 @@ def near_classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, least:
     members = materialize(members, "members")
     spare = members.filter("seq != rep").select("seq")
     reps = embedded.join(spare, "seq", "left_anti").withColumnRenamed("seq", "rep")
-    keyed = reps.select("rep", "size", F.explode("cells").alias("cell"))
-    a = keyed.select("cell", F.col("rep").alias("rep_a"), F.col("size").alias("size_a"))
-    b = keyed.select("cell", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"))
-    sized = (F.col("size_b") >= threshold * F.col("size_a") - 1e-9) & (F.col("size_a") >= threshold * F.col("size_b") - 1e-9)
-    shared = a.join(b, "cell").filter((F.col("rep_a") < F.col("rep_b")) & sized).groupBy("rep_a", "rep_b").agg(F.count("*").alias("n"))
-    by_grid = shared.filter(F.col("n") >= SHARED).select("rep_a", "rep_b")
+    # One exchange serves both sides; adaptive execution splits the partition of a shingle that very many texts have among their rarest.
     placed = reps.select("rep", "size", F.posexplode("rare").alias("at", "shingle"))
     x = placed.select("shingle", F.col("rep").alias("rep_a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
     y = placed.select("shingle", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
+    sized = (F.col("size_b") >= threshold * F.col("size_a") - 1e-9) & (F.col("size_a") >= threshold * F.col("size_b") - 1e-9)
     # behind the first common shingle lie the others, so both sets must have enough left from there on
     left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-6
-    by_rare = x.join(y, "shingle").filter((F.col("rep_a") < F.col("rep_b")) & sized & left).select("rep_a", "rep_b")
-    candidates = by_grid.unionByName(by_rare).distinct()
-    pops = reps.select("rep", "pops")
-    close = (
-        candidates.join(pops.select(F.col("rep").alias("rep_a"), F.col("pops").alias("pops_a")), "rep_a")
-        .join(pops.select(F.col("rep").alias("rep_b"), F.col("pops").alias("pops_b")), "rep_b")
-        .mapInPandas(_bounded(threshold), "rep_a long, rep_b long")
-    )
+    candidates = x.join(y, "shingle").filter((F.col("rep_a") < F.col("rep_b")) & sized & left).select("rep_a", "rep_b").distinct()
+    pops = lambda end: reps.select(F.col("rep").alias(f"rep_{end}"), F.col("size").alias(f"size_{end}"), F.col("pops").alias(f"pops_{end}"))
+    close = candidates.join(pops("a"), "rep_a").join(pops("b"), "rep_b").mapInPandas(_bounded(threshold), "rep_a long, rep_b long")
     close = materialize(close, "candidates")
     needed = close.select(F.explode(F.array("rep_a", "rep_b")).alias("seq")).distinct()
     texts = rows.select("seq", "text").join(needed, "seq", "left_semi")
@@ -237,8 +195,15 @@ def near_classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, least:
 
 
 def near_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """seq_a, seq_b: every pair of rows in one class or in linked classes, each once, seq_a < seq_b."""
-    own = members.select("rep", F.col("seq").alias("seq_a")).join(members.select("rep", F.col("seq").alias("seq_b")), "rep").filter("seq_a < seq_b").select("seq_a", "seq_b")
+    """seq_a, seq_b: every pair of rows in one class or in linked classes, each once, seq_a < seq_b.
+
+    The members of a large class are dealt to parts: each part meets all members in a task of its own.
+    """
+    parts = members.groupBy("rep").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n")).filter("n > 1").select("rep", "parts")
+    dealt = members.join(parts, "rep")
+    one = dealt.select("rep", F.pmod(F.xxhash64("seq"), F.col("parts").cast("long")).cast("int").alias("part"), F.col("seq").alias("seq_a"))
+    all_ = dealt.select("rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("seq").alias("seq_b"))
+    own = one.join(all_, ["rep", "part"]).filter("seq_a < seq_b").select("seq_a", "seq_b")
     left = members.select(F.col("rep").alias("rep_a"), F.col("seq").alias("x"))
     right = members.select(F.col("rep").alias("rep_b"), F.col("seq").alias("y"))
     across = links.join(left, "rep_a").join(right, "rep_b").select(F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b"))

@@ -140,11 +140,11 @@ x AS (SELECT a.seq AS seq_a, b.seq AS seq_b, count(*) AS n_both FROM s a JOIN s
 SELECT seq_a, seq_b FROM x JOIN n na ON na.seq = seq_a JOIN n nb ON nb.seq = seq_b WHERE n_both >= 0.6 * (na.n + nb.n - n_both)
 """
 
-# Classes of equal sets of five-word sequences, and their links at 0.8.
+# Classes of equal sets of five-word sequences (a shorter text is one sequence), and their links at 0.8.
 _P4_GROUPS = f"""
 WITH k AS (SELECT seq, text FROM ({_CURRENT}) WHERE domain = 'KNOWLEDGE' AND text IS NOT NULL),
 w AS (SELECT seq, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM k),
-s AS (SELECT DISTINCT seq, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] for i in range(1, len(w) - 3)]) AS g FROM w WHERE len(w) >= 5),
+s AS (SELECT DISTINCT seq, unnest(CASE WHEN len(w) >= 5 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] for i in range(1, len(w) - 3)] ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) >= 1),
 l AS (SELECT seq, list(g ORDER BY g) AS all_of, count(*) AS n FROM s GROUP BY seq),
 c AS (SELECT seq, n, min(seq) OVER (PARTITION BY all_of) AS class_id, count(*) OVER (PARTITION BY all_of) AS copies FROM l),
 r AS (SELECT s.seq, s.g, c.n FROM s JOIN c ON c.seq = s.seq AND c.class_id = s.seq),
