@@ -2,36 +2,40 @@
 
 Words of the held-out items and of the documents become template symbols: numbers,
 units and names turn into typed placeholders, every other word of the items keeps its
-own symbol. Windows of the templates are hashed and joined; the slots of each match
-are then compared, so that a verbatim passage (all slots equal), a re-parameterised
-one (slots renamed consistently) and a chance match (neither) are told apart.
+own symbol. A placeholder also says how far back in the window the same word stands, so
+windows whose slots are renamed consistently, and only these, have equal canonical forms.
+The hashes of the canonical windows of items and documents are joined; a second hash of
+the words themselves tells verbatim passages from re-parameterised ones.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.session import materialize
+
 WINDOW = 12
-#: Items are indexed in blocks of at most so many words; each block is one pass over the documents.
-BLOCK_WORDS = 1_000_000
-#: Of a window of a re-parameterised passage at least so many words are not slots.
+#: A window with fewer words that are not slots is compared word by word only: almost any text would fit its template.
 ANCHORS = 6
+#: Bits of the table that lets document windows pass to the join; a fixed 2 MB. More items let more windows pass, and lose none.
+TABLE_BITS = 24
+#: A worker remembers at most about so many different words.
+CACHE = 500_000
 WORDS = re.compile(r"[^\W_]+")
 SENTENCE_START = re.compile(r"(?:^|[.!?:]\s+|\n\s*)[^\w\s]*([^\W_]+)")
 # Unit words that become the placeholder UNIT.
 UNITS = frozenset("ms s sec secs second seconds min mins minute minutes hour hours h day days kb mb gb tb kib mib gib byte bytes px percent pct km m cm mm kg g mg".split())
-SEPARATOR, NUMBER, UNIT, NAME, FIRST = 0, 1, 2, 3, 4
-MULT = np.uint64(0x9E3779B97F4A7C15)
+NUMBER, UNIT, NAME = 1, 2, 3
+SEPARATOR = "\n"  # between documents; no word is like it
+A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _invisible() -> re.Pattern:
@@ -62,159 +66,165 @@ def words(text: str | None) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-class Symbols(dict):
-    """Template symbol of each word; words outside the lexicon are numbers, units or names."""
+# ---------------------------------------------------------------- lexicon
+def _word_facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for text in pdf["text"]:
+            plain = unicodedata.normalize("NFKC", INVISIBLE.sub("", text))
+            out += [(w.casefold(), 1, 0) for w in {w for w in WORDS.findall(plain) if w[0].islower()}]
+            out += [(m[1].casefold(), 0, 1) for m in SENTENCE_START.finditer(plain)]
+        yield pd.DataFrame(out, columns=["word", "lower", "starts"])
+
+
+def lexicon(items: DataFrame) -> frozenset[str]:
+    """Words that the items also write in lower case, or that begin three sentences or more; all others are slots.
+
+    It is one for all items, whatever their order and number, and grows with their vocabulary only.
+    """
+    facts = items.select("text").filter("text is not null").mapInPandas(_word_facts, "word string, lower int, starts int")
+    known = facts.groupBy("word").agg(F.max("lower").alias("lower"), F.sum("starts").alias("starts")).filter("lower > 0 or starts >= 3")
+    return frozenset(w for (w,) in known.select("word").collect() if w not in UNITS and not w[0].isdigit())
+
+
+class Table(dict):
+    """Number of each word, with its hash, and the kind of slot it is (0: none)."""
+
+    def __init__(self, known: frozenset[str]):
+        super().__init__()
+        self.known, self.hashes, self.slots = known, [], []
 
     def __missing__(self, word: str) -> int:
-        if word in UNITS:
-            return UNIT
-        return NUMBER if word[0].isdigit() and not word.isalpha() and any(map(str.isdigit, word)) else NAME
-
-
-def lexicon(texts: list[str]) -> Symbols:
-    """Words that the items also write in lower case, or that begin a sentence in several items; the others are slots."""
-    lower: set[str] = set()
-    starts: Counter = Counter()
-    for text in texts:
-        plain = unicodedata.normalize("NFKC", INVISIBLE.sub("", text))
-        lower.update(w.casefold() for w in WORDS.findall(plain) if w[0].islower())
-        starts.update({m[1].casefold() for m in SENTENCE_START.finditer(plain)})
-    known = sorted(w for w in lower | {w for w, n in starts.items() if n >= 3} if w not in UNITS and not w[0].isdigit())
-    return Symbols({w: n for n, w in enumerate(known, FIRST)})
-
-
-def window_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Polynomial hash of every window of that length (uint64, modulo 2**64), mixed at the end."""
-    n = len(symbols) - length + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(length):
-        h = h * MULT + symbols[i : i + n]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+        import xxhash
+
+        n = self[word] = len(self)
+        self.hashes.append(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")))
+        digits = word[0].isdigit() and not word.isalpha() and any(map(str.isdigit, word))
+        self.slots.append(0 if word in self.known or word == SEPARATOR else UNIT if word in UNITS else NUMBER if digits else NAME)
+        return n
+
+
+# ---------------------------------------------------------------- windows
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
 @dataclass
-class Index:
-    symbols: Symbols
-    items: list[tuple[int, list[str]]]
-    #: by window length: sorted hashes, item number and position of each, and a bit table of the hashes' upper bits
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-
-BITS = np.uint64(64 - 22)
-
-
-def build_index(rows: list[tuple[int, str]], window: int) -> Index:
-    symbols = lexicon([t for _, t in rows])
-    items = [(i, w) for i, t in rows if (w := words(t))]
-    by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
-    for n, (_, w) in enumerate(items):
-        length = min(window, len(w))
-        ids = np.fromiter(map(symbols.__getitem__, w), np.uint64, len(w))
-        by_length.setdefault(length, []).append((window_hashes(ids, length), n))
-    tables = {}
-    for length, parts in by_length.items():
-        hashes = np.concatenate([h for h, _ in parts])
-        item = np.concatenate([np.full(len(h), n) for h, n in parts])
-        pos = np.concatenate([np.arange(len(h)) for h, _ in parts])
-        order = np.argsort(hashes, kind="stable")
-        bits = np.zeros(1 << 22, bool)
-        bits[(hashes >> BITS).astype(np.int64)] = True
-        tables[length] = (hashes[order], item[order], pos[order], bits)
-    return Index(symbols, items, tables)
-
-
-def _slots(index: Index, item: list[str], doc: list[str]) -> tuple[bool, bool]:
-    """Whether two windows with equal templates are verbatim, and whether their slots are renamed consistently."""
-    if item == doc:
-        return True, True
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    anchors = 0
-    for a, b in zip(item, doc):
-        if index.symbols[a] >= FIRST:
-            anchors += 1
-        elif there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-            return False, False
-    return False, anchors >= ANCHORS
-
-
-def _scan(index: Index, ids: list[int], texts: list[str | None]) -> list[tuple[int, int, bool, int]]:
-    """(doc, item, verbatim, windows) for the documents of one batch."""
-    lists = [words(t) for t in texts]
-    flat: list[str] = []
-    starts = []
-    for w in lists:
-        starts.append(len(flat))
-        flat += w
-        flat.append("")
-    base = index.symbols | {"": SEPARATOR}
-    symbols = Symbols(base)
-    codes = np.fromiter(map(symbols.__getitem__, flat), np.uint64, len(flat))
-    begins = np.asarray(starts)
-    hits: dict[tuple[int, int], list] = {}
-    for length, (hashes, item, pos, bits) in index.tables.items():
-        h = window_hashes(codes, length)
-        maybe = np.flatnonzero(bits[(h >> BITS).astype(np.int64)])
-        if not len(maybe):
-            continue
-        left = np.searchsorted(hashes, h[maybe], "left")
-        right = np.searchsorted(hashes, h[maybe], "right")
-        for at, a, b in zip(maybe[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist()):
-            doc = int(np.searchsorted(begins, at, "right")) - 1
-            here = flat[at : at + length]
-            for k in range(a, b):
-                n = int(item[k])
-                whole = index.items[n][1]
-                p = int(pos[k])
-                verbatim, consistent = _slots(index, whole[p : p + length], here)
-                if not consistent:
-                    continue
-                entry = hits.setdefault((doc, n), [False, 0])
-                entry[0] |= verbatim
-                entry[1] += 1
-    return [(ids[d], index.items[n][0], v, c) for (d, n), (v, c) in hits.items()]
-
-
-def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size; only one block is on the driver at a time."""
-    block, size = [], 0
-    for row in items.toLocalIterator():
-        n = len(row["text"]) // 4 + 1
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((row["item_id"], row["text"]))
-        size += n
-    if block:
-        yield block
-
-
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+class Windows:
+    """Cuts texts into windows and hashes them."""
+
+    known: frozenset[str]
+    table: Table | None = field(default=None, repr=False)
+
+    def __getstate__(self):
+        return {"known": self.known, "table": None}
+
+    def of(self, texts: list[list[str]]) -> Batch:
+        if self.table is None or len(self.table) > CACHE:
+            self.table = Table(self.known)
+        flat, starts = [], []
+        for w in texts:
+            starts.append(len(flat))
+            flat += w
+            flat.append(SEPARATOR)
+        codes = np.fromiter(map(self.table.__getitem__, flat), np.int64, len(flat))
+        hashes, slots = np.asarray(self.table.hashes, np.uint64)[codes], np.asarray(self.table.slots, np.uint64)[codes]
+        order = np.argsort(codes, kind="stable")
+        same = codes[order[1:]] == codes[order[:-1]]
+        back = np.full(len(codes), 1 << 40, np.int64)
+        back[order[1:][same]] = order[1:][same] - order[:-1][same]
+        ends = np.zeros(len(flat) + 1, np.int64)
+        ends[1:] = np.cumsum(codes == self.table[SEPARATOR]) if len(flat) else 0
+        return Batch(np.asarray(starts, np.int64), hashes, slots, back, ends)
+
+
+@dataclass
+class Batch:
+    starts: np.ndarray
+    hashes: np.ndarray
+    slots: np.ndarray
+    back: np.ndarray
+    ends: np.ndarray
+
+    def cut(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text number, key and hash of the words of every window of that length inside a text.
+
+        The key is the hash of the canonical form, or of the words where too few are not slots.
+        """
+        n = len(self.hashes) - length + 1
+        at = np.flatnonzero(self.ends[length:] == self.ends[: max(n, 0)]) if n > 0 else np.empty(0, np.int64)
+        exact, canonical = np.full(len(at), length, np.uint64), np.full(len(at), length, np.uint64)
+        slots = np.zeros(len(at), np.int64)
+        for j in range(length):
+            h, kind, back = self.hashes[at + j], self.slots[at + j], self.back[at + j]
+            exact = exact * A + h
+            canonical = canonical * A + np.where(kind > 0, kind * B + np.where(back <= j, back, 0).astype(np.uint64), h)
+            slots += kind > 0
+        exact = _mixed(exact)
+        key = np.where(length - slots >= ANCHORS, _mixed(canonical ^ B), exact)
+        return np.searchsorted(self.starts, at, "right") - 1, key, exact
+
+
+def _bucket(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+ITEM_WINDOWS = "item_id long, length int, key long, exact long, bucket int"
+
+
+def item_windows(items: DataFrame, cutter: Windows, window: int) -> DataFrame:
+    """The windows of every item; an item of fewer words than a window is one window of its own length."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lists = [words(t) for t in pdf["text"]]
+            lengths, ids, parts = np.asarray([min(window, len(w)) for w in lists]), pdf["item_id"].to_numpy(), []
+            batch = cutter.of(lists)
+            for length in sorted({int(x) for x in lengths if x}):
+                text, key, exact = batch.cut(length)
+                mine = lengths[text] == length
+                parts.append(pd.DataFrame({"item_id": ids[text[mine]], "length": length, "key": key[mine].view(np.int64), "exact": exact[mine].view(np.int64), "bucket": _bucket(key[mine])}))
+            yield pd.concat(parts) if parts else pd.DataFrame(columns=["item_id", "length", "key", "exact", "bucket"])
+
+    return items.mapInPandas(cut, ITEM_WINDOWS).distinct()
+
+
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, verbatim, windows: every document with a window of an item, or with a whole shorter item.
 
-    verbatim: some window has all words equal. Otherwise its slots were renamed consistently.
-    Documents and items with null or empty texts give no rows; each copy of a document
-    gives its own. windows counts the matching windows of the pair. The index of a block
-    is at most block_words words; items beyond one block take further passes.
+    verbatim: some window has all words equal. Otherwise its slots were renamed consistently; such
+    passages need ANCHORS words in a window that are not slots. windows counts the windows of the
+    document that match the item. Documents and items with null or empty texts give no rows; each
+    copy of a document gives its own (rows of one doc_id count together). Items may have any number:
+    the documents are read once, and only windows that may be an item's are joined.
     """
     spark = documents.sparkSession
     schema = "doc_id long, item_id long, verbatim boolean, windows long"
-    docs = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     usable = items.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    parts = []
-    for block in _blocks(usable, block_words):
-        shared = spark.sparkContext.broadcast(build_index(block, window))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                found = _scan(shared.value, pdf["doc_id"].tolist(), pdf["text"].tolist())
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "verbatim", "windows"])
-
-        parts.append(docs.mapInPandas(scan, schema))
-    if not parts:
+    cutter = Windows(lexicon(usable))
+    wanted = materialize(item_windows(usable, cutter, window), "items")
+    lengths = sorted(r["length"] for r in wanted.select("length").distinct().collect())  # at most window of them
+    if not lengths:
         return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionAll, parts).groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("verbatim"), F.sum("windows").alias("windows"))
+    bits = np.zeros(1 << TABLE_BITS, bool)
+    bits[wanted.select("bucket").distinct().toPandas()["bucket"].to_numpy(np.int64)] = True  # at most 2 ** TABLE_BITS
+    shared = spark.sparkContext.broadcast((cutter, np.packbits(bits)))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cutter, packed = shared.value
+        for pdf in batches:
+            batch, ids = cutter.of([words(t) for t in pdf["text"]]), pdf["doc_id"].to_numpy()
+            for length in lengths:
+                text, key, exact = batch.cut(length)
+                at = _bucket(key)
+                passed = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+                found = pd.DataFrame({"doc_id": ids[text[passed]], "length": length, "key": key[passed].view(np.int64), "said": exact[passed].view(np.int64)})
+                yield found.groupby(["doc_id", "length", "key", "said"], as_index=False).size().rename(columns={"size": "n"})
+
+    docs = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    passed = docs.mapInPandas(cut, "doc_id long, length int, key long, said long, n long")
+    # an item's windows of one canonical form are one row, so that each window of a document counts once
+    forms = wanted.groupBy("item_id", "length", "key").agg(F.collect_set("exact").alias("exacts"))
+    matched = passed.join(forms, ["length", "key"])
+    return matched.groupBy("doc_id", "item_id").agg(F.max(F.array_contains("exacts", F.col("said"))).alias("verbatim"), F.sum("n").alias("windows"))

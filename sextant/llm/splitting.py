@@ -1,13 +1,15 @@
 """Splitting oversized texts at natural boundaries by packing their structure tree.
 
 A text becomes a tree: sections by heading level, blocks between blank lines (fenced
-code is one block), lines or list items, sentences, words, single characters. Sibling
-subtrees are merged bottom-up as long as they fit; only oversized nodes are opened.
+code is one block), list items by indentation, lines, sentences, words, single characters.
+Only nodes that do not fit are opened; what they were opened into is merged again bottom-up,
+neighbour with neighbour, as long as it fits.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 4000, 200
+#: A piece before the last has at least this part of the room, if some cut allows it.
+LEAST = 0.1
 HEADING = re.compile(r"(#{1,6})[ \t]+\S")
 UNDERLINE = re.compile(r"(=+|-+)[ \t]*\r?$")
-ITEM = re.compile(r"[ \t]*(?:[-*+]|\d+[.)])[ \t]+")
+ITEM = re.compile(r"^([ \t]*)(?:[-*+]|\d+[.)])[ \t]+", re.MULTILINE)
+LINE = re.compile("\n")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+")
 WORD = re.compile(r"\s+")
 
@@ -82,75 +87,116 @@ def tree(text: str) -> Node:
     return root
 
 
-def _cuts(text: str, start: int, end: int, kind: str) -> list[int]:
-    """Offsets inside (start, end) where a node of this kind may be parted next."""
-    if kind == "block":  # lines, but list items keep their continuation lines
-        ends = [m.end() for m in re.compile("\n").finditer(text, start, end)]
-        items = [x for x in ends if ITEM.match(text, x)]
-        return items if len(items) > 1 else ends
-    if kind == "item":
-        return [m.end() for m in re.compile("\n").finditer(text, start, end)]
-    if kind == "line":
-        return [m.end() for m in SENTENCE.finditer(text, start, end)]
-    if kind == "sentence":
-        return [m.end() for m in WORD.finditer(text, start, end)]
-    return []
+def _items(text: str, block: Node) -> list[Node]:
+    """The list items of a block as a tree by indentation, and what stands before the first; empty without two items."""
+    found = [(m.start(), len(m[1].expandtabs(4))) for m in ITEM.finditer(text, block.start, block.end)]
+    if len(found) < 2 or text.startswith("```", block.start):
+        return []
+    top = Node("block", block.start, block.end)
+    path = [(-1, top)]
+    for at, indent in found:
+        while path[-1][0] >= indent:
+            path.pop()[1].end = at
+        parent = path[-1][1]
+        if not parent.children and at > parent.start:
+            parent.children.append(Node("item", parent.start, at))
+        item = Node("item", at, block.end)
+        parent.children.append(item)
+        path.append((indent, item))
+    return top.children
+
+
+BOUNDARIES = {"item": LINE, "line": SENTENCE, "sentence": WORD}
+BELOW = {"block": "item", "item": "line", "line": "sentence", "sentence": "word"}
 
 
-BELOW = {"block": "item", "item": "line", "line": "sentence", "sentence": "word"}
+def _parts(node: Node, text: str, room: int) -> list[Node]:
+    """What a node that does not fit is opened into."""
+    if node.kind == "word":  # nothing natural is left
+        return [Node("char", a, min(a + room, node.end)) for a in range(node.start, node.end, room)]
+    children = node.children or (_items(text, node) if node.kind == "block" else [])
+    if children:
+        return children
+    kind = "item" if node.kind == "block" else node.kind
+    edges = [x for m in BOUNDARIES[kind].finditer(text, node.start, node.end) if node.start < (x := m.end()) < node.end]
+    edges = [node.start, *edges, node.end]
+    return [Node(BELOW[kind], x, y) for x, y in zip(edges, edges[1:])]
 
 
-def pack(node: Node, text: str, room: int) -> list[tuple[int, int]]:
-    """Spans of at most room characters that part the node's span: siblings merged, oversized ones opened."""
-    if node.end - node.start <= room:
-        return [(node.start, node.end)]
-    children = node.children
-    if not children:
-        if node.kind == "word":  # nothing natural is left
-            return [(a, min(a + room, node.end)) for a in range(node.start, node.end, room)]
-        inner = [x for x in _cuts(text, node.start, node.end, node.kind) if node.start < x < node.end]
-        edges = [node.start, *inner, node.end]
-        children = [Node(BELOW[node.kind], a, b) for a, b in zip(edges, edges[1:])]
+def _merged(spans: list[tuple[int, int]], fits) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    begin = children[0].start
-    stop = begin
-    for child in children:
-        if child.end - child.start > room:
-            if stop > begin:
-                out.append((begin, stop))
-            out += pack(child, text, room)
-            begin = stop = child.end
-        elif child.end - begin > room:
-            out.append((begin, stop))
-            begin, stop = child.start, child.end
+    for a, b in spans:
+        if out and fits(out[-1][0], b):
+            out[-1] = (out[-1][0], b)
         else:
-            stop = child.end
-    if stop > begin:
-        out.append((begin, stop))
+            out.append((a, b))
     return out
 
 
+def _cut_between(text: str, starts: list[int], low: int, high: int) -> int:
+    """The most natural offset in [low, high] to cut at, of equal ones the nearest to the middle."""
+    middle = (low + high) / 2
+    inside = starts[bisect_left(starts, low) : bisect_right(starts, high)]
+    for pattern in (None, LINE, SENTENCE, WORD):
+        if pattern is not None:
+            inside = [x for m in pattern.finditer(text, max(0, low - 1), high) if low <= (x := m.end()) <= high]
+        if inside:
+            return min(inside, key=lambda x: abs(x - middle))
+    return int(middle)
+
+
+def pack(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int]], list[Node]]:
+    """Spans that part the text, and the nodes that had to be opened, in the order of opening.
+
+    The first span has at most limit characters, the others overlap fewer, so that with the
+    overlap before them they keep the limit: a node of a size between both is opened too
+    unless it begins the text.
+    """
+    room = limit - overlap
+    fits = lambda a, b: b - a <= (limit if a == 0 else room)
+    root, opened = tree(text), []
+    done: list[tuple[int, int]] = []
+    frames: list[tuple[Iterator[Node], list[tuple[int, int]]]] = [(iter([root]), done)]
+    while frames:  # post-order with an own stack, as lists may be nested to any depth
+        children, spans = frames[-1]
+        node = next(children, None)
+        if node is None:
+            frames.pop()
+            if frames:
+                frames[-1][1].extend(_merged(spans, fits))
+        elif fits(node.start, node.end):
+            spans.append((node.start, node.end))
+        else:
+            opened.append(node)
+            frames.append((iter(_parts(node, text, room)), []))
+    # Small pieces that fit neither neighbour share with the next one.
+    starts = [a for a, _ in blocks(text)]
+    least = int(LEAST * room)
+    for n in range(len(done) - 1):
+        (a, b), (_, d) = done[n], done[n + 1]
+        if b - a < least:
+            low, high = max(a + least, d - room), min(d - 1, a + (limit if a == 0 else room), d - least)
+            if low <= high:
+                cut = _cut_between(text, starts, low, high)
+                done[n], done[n + 1] = (a, cut), (cut, d)
+    return done, opened
+
+
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Spans of the pieces; each but the first begins overlap characters before the end of the one before."""
     body = text.strip()
     if len(body) <= limit:
         return [(0, len(body))] if body else []
-    cores = pack(tree(body), body, limit - overlap)
-    return [(max(0, a - overlap), b) for a, b in cores]
+    return [(max(0, a - overlap), b) for a, b in pack(body, limit, overlap)[0]]
 
 
-def oversized(text: str, limit: int = LIMIT) -> list[int]:
-    """Numbers of the nodes the packer has to open: 0 for the whole text, n for its n-th block."""
+def oversized(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
+    """Of the nodes the packer opened those that exceed the limit without white space at their ends: 0 for the whole text, n for its n-th block."""
     body = text.strip()
     if len(body) <= limit:
         return []
-    found, stack = [0], [tree(body)]
-    while stack:
-        node = stack.pop()
-        if node.kind == "block" and len(body[node.start : node.end].strip()) > limit:
-            found.append(node.number)
-        stack += node.children
-    return sorted(found)
+    opened = [x for x in pack(body, limit, overlap)[1] if x.kind in ("root", "block")]
+    return sorted(x.number for x in opened if len(body[x.start : x.end].strip()) > limit)
 
 
 def _long(rows: DataFrame, limit: int) -> DataFrame:
@@ -181,12 +227,15 @@ def split_texts(rows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
     return _long(rows, limit).select("seq", "section", "text").mapInPandas(cut, "seq long, section string, piece_no int, n_pieces int, begins int, text string")
 
 
-def oversized_nodes(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """seq, block_no of every node of the structure tree that split_texts opens: 0 the text, n its n-th block."""
+def oversized_nodes(rows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """seq, block_no of the texts (0) and blocks (n, from 1) over the limit, trimmed, that the packer of split_texts had to open.
+
+    Every block over the limit is among them. Null, empty and shorter texts give no rows, equal rows the same each.
+    """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(seq, n) for seq, text in zip(pdf["seq"], pdf["text"]) for n in oversized(text, limit)]
+            out = [(seq, n) for seq, text in zip(pdf["seq"], pdf["text"]) for n in oversized(text, limit, overlap)]
             yield pd.DataFrame(out, columns=["seq", "block_no"])
 
     return _long(rows, limit).select("seq", "text").mapInPandas(find, "seq long, block_no long")

@@ -35,8 +35,8 @@ def test_equal_to_brute_force(spark):
     i = spark.createDataFrame(items, "item_id bigint, text string")
     want = plain_leaks(docs, items)
     assert want
-    for block in (10**6, 20):
-        got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, i, block_words=block).filter("verbatim").collect()}
+    for parts in (1, 7):
+        got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, i.repartition(parts)).filter("verbatim").collect()}
         assert got == want
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
@@ -52,3 +52,23 @@ def test_renamed_passages_are_told_apart(spark):
     assert (1, True) in got and (2, False) in got
     full = {r["doc_id"]: r["windows"] for r in leakage.leaks(d, i).filter("item_id = 7").collect()}
     assert full[2] > full.get(3, 0)
+
+
+def test_added_items_and_their_order_change_nothing(spark):
+    item = "When Alpha reads the old queue of the row, Beta keeps 12 copies for Alpha."
+    renamed = "When Gamma reads the old queue of the row, Delta keeps 77 copies for Gamma."
+    others = [(n, f"Name{n} holds a shelf of {n} green bottles and nobody in the house counts them at night") for n in range(20, 60)]
+    d = spark.createDataFrame([(2, renamed), (4, item)], "doc_id bigint, text string")
+    schema = "item_id bigint, text string"
+    found = [
+        sorted((r["doc_id"], r["item_id"], r["verbatim"]) for r in leakage.leaks(d, spark.createDataFrame(rows, schema).repartition(parts)).collect())
+        for parts, rows in ((1, [(7, item), *others]), (5, [*others[::-1], (7, item)]))
+    ]
+    assert found[0] == found[1] == [(2, 7, False), (4, 7, True)]
+
+
+def test_windows_count_documents_windows(spark):
+    item = "Alpha Beta Gamma Delta Alpha Beta Gamma Delta Alpha Beta Gamma Delta Alpha"  # names only: word by word
+    d = spark.createDataFrame([(1, item), (2, item.replace("Alpha", "Omega")), (3, item + " Beta")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["verbatim"], r["windows"]) for r in leakage.leaks(d, spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()}
+    assert got == {1: (True, 2), 3: (True, 2)}

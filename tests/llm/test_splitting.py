@@ -61,6 +61,36 @@ def test_boundaries_are_natural():
     assert [b - a for a, b in s.pieces("x" * 1000, 300, 50)] == [250, 300, 300, 300]
 
 
+def paragraph(size):
+    return ("Some words of a sentence here. " * (size // 30 + 1))[: size - 1] + "."
+
+
+def test_tails_are_merged_with_what_follows():
+    body = "\n\n".join(paragraph(n) for n in (3900, 600, 3900))
+    spans = s.pieces(body)
+    assert spans[0][1] >= 3900  # the first piece needs no room for an overlap
+    new = [b - (spans[n - 1][1] if n else 0) for n, (a, b) in enumerate(spans)]
+    assert all(x >= 380 for x in new[:-1]) and all(b - a <= 4000 for a, b in spans)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([5, 60, 350, 900, 2500, 3790, 3810, 3990, 4100, 9000]), min_size=2, max_size=9), st.sampled_from(["\n", "\n\n", " "]))
+def test_no_small_pieces_before_the_last(sizes, between):
+    body = between.join(paragraph(n) for n in sizes)
+    spans = s.pieces(body)
+    new = [b - (spans[n - 1][1] if n else 0) for n, (a, b) in enumerate(spans)]
+    assert all(x >= 380 for x in new[:-1]) and sum(new) == len(body.strip()) or len(body.strip()) <= 4000
+
+
+def test_lists_are_trees():
+    items = [f"- item {i}\n" + "".join(f"  - sub {i}.{j} " + "word " * 12 + "\n" for j in range(8)) for i in range(12)]
+    body = "".join(items).strip()
+    cuts = {b for _, b in s.pieces(body, 1300, 100)[:-1]}
+    assert all(body.startswith("- item", x) for x in cuts)  # between top items, as two of them fit
+    deep = "".join(" " * n + "- x\n" for n in range(3000))
+    assert s.pieces(deep)[-1][1] == len(deep.strip())
+
+
 def test_rows(spark):
     rows = spark.createDataFrame(
         [(1, "S > T", "word " * 2000, "x"), (2, None, "short", "x"), (3, " ", None, "x"), (4, "s", "", "x"), (5, "s", " " * 5000, "x"), (6, "s", "𝄞" * 4001, "x"), (7, "s", " " + "y" * 4000 + "\n", "x"), (1, "S > T", "word " * 2000, "x")],
