@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 #: The classifier is fitted on about so many labelled documents of each language at most.
 DOCS_PER_LANGUAGE = 200
+#: Of each of them so many stretches (lines, long ones in parts) are drawn by a hash from the whole text.
+STRETCHES, STRETCH = 4, 1000
+#: Temperature under which segments are decided; the confidence reported has its own, fitted one.
+DECISION = 0.18
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 MIN_RUN = 30
@@ -165,29 +169,60 @@ class Model:
         at = np.fromiter(map(self.scores.__getitem__, tokens), np.int64, len(tokens))
         return self.scores.table[at]
 
-    def probabilities(self, scores: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        logit = scores / np.sqrt(np.maximum(grams, 1))[:, None] / self.temperature
+    def probabilities(self, scores: np.ndarray, grams: np.ndarray, temperature: float) -> np.ndarray:
+        logit = scores / np.sqrt(np.maximum(grams, 1))[:, None] / temperature
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(sample: list[tuple[str, str]], seed: int = 11, epochs: int = 2) -> Model:
-    """A model from (label, text) rows; labels may be wrong and texts mixed for a part of them.
+def stretches(doc_id: int, text: str | None, most: int = STRETCHES) -> list[str]:
+    """Lines outside fenced code of more than 20 characters, longer ones in parts, drawn by a hash."""
+    found = []
+    for line in without_fences(text or "").split("\n"):
+        parts = [line] if len(line) <= STRETCH else [line[a : a + STRETCH].partition(" ")[2].rpartition(" ")[0] for a in range(0, len(line), STRETCH)]
+        found += [p for p in parts if len(p) > 20]
+    if len(found) <= most:
+        return found
+    drawn = sorted(range(len(found)), key=lambda n: zlib.crc32(b"%d %d" % (doc_id, n)))[:most]
+    return [found[n] for n in sorted(drawn)]
+
+
+def temperature(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """The temperature of best likelihood for held-out units, and the share of wrong labels found with it.
+
+    Labels are dirty and texts mixed: a unit carries its label with the model's probability, or, with
+    the fitted share, any label at all. No unit is left out for what the model says of it.
+    """
+    best, found = np.inf, (1.0, 0.0)
+    own = np.arange(len(labels))
+    for t in np.geomspace(0.1, 10, 61):
+        s = scores / t
+        s = s - s.max(axis=1, keepdims=True)
+        p = np.exp(s[own, labels]) / np.exp(s).sum(axis=1)
+        for noise in np.linspace(0.0, 0.5, 51):
+            loss = -np.log(np.maximum((1 - noise) * p + noise / scores.shape[1], 1e-12)).mean()
+            if loss < best:
+                best, found = loss, (float(t), float(noise))
+    return found
+
+
+def fit(sample: list[tuple[str, list[str]]], seed: int = 11, epochs: int = 2) -> Model:
+    """A model from (label, stretches of a text) rows; labels may be wrong and texts mixed for a part of them.
 
     A first fit marks the units that clearly belong to another language than their
-    document's label; the second fit leaves them out, as does the calibration.
+    document's label; the second fit leaves them out. Units of every fifth document are
+    held out of both, and all of them set the temperature.
     """
     languages = sorted({label for label, _ in sample})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0)
     raw, labels, held, known = [], [], [], {}
-    for doc, (label, text) in enumerate(sample):
-        lines = [u for u in without_fences(text).split("\n") if len(u) > 20][:4]
-        for line in lines:
-            raw.append(_features(line, known))
+    for doc, (label, units) in enumerate(sample):
+        for unit in units:
+            raw.append(_features(unit, known))
             labels.append(languages.index(label))
             held.append(doc % 5 == 0)
-    labels, held = np.asarray(labels), np.asarray(held)
+    labels, held = np.asarray(labels, np.int64), np.asarray(held, bool)
     df = np.zeros(BUCKETS)
     for ids, _ in raw:
         df[ids] += 1
@@ -195,49 +230,44 @@ def fit(sample: list[tuple[str, str]], seed: int = 11, epochs: int = 2) -> Model
     rows = [(ids, x * idf[ids] / 4) for ids, x in raw]
 
     def logits(w):
-        return np.array([x @ w[ids] if len(ids) else np.zeros(len(languages)) for ids, x in rows])
+        return np.array([x @ w[ids] if len(ids) else np.zeros(len(languages)) for ids, x in rows]).reshape(len(rows), len(languages))
 
     def training(mask, epochs):
         picked = np.flatnonzero(mask)
         return _ftrl([rows[i] for i in picked], labels[picked], len(languages), epochs, seed)
 
-    first = logits(training(~held, 1))
-    clean = first.argmax(axis=1) == labels
+    clean = logits(training(~held, 1)).argmax(axis=1) == labels
     w = training(clean & ~held if (clean & ~held).any() else ~held, epochs)
-    scores = logits(w)
-    check = held & (scores.argmax(axis=1) == labels) if held.any() else clean
-    own = labels[check | (held & clean)]
-    on = scores[check | (held & clean)]
-    best, temperature = np.inf, 1.0
-    for t in np.geomspace(0.1, 10, 41) if len(on) else []:
-        s = on / t
-        s = s - s.max(axis=1, keepdims=True)
-        loss = -(s[np.arange(len(on)), own] - np.log(np.exp(s).sum(axis=1))).mean()
-        if loss < best:
-            best, temperature = loss, float(t)
-    return Model(languages, (w * idf[:, None] / 4).astype(np.float32), temperature)
+    scored = held & np.asarray([len(ids) > 0 for ids, _ in rows], bool)
+    t = temperature(logits(w)[scored], labels[scored])[0] if scored.any() else 1.0
+    return Model(languages, (w * idf[:, None] / 4).astype(np.float32), t)
 
 
 def train(documents: DataFrame, per_language: int = DOCS_PER_LANGUAGE, seed: int = 11) -> Model:
-    """Fit on at most about per_language documents for each language the labels name.
+    """Fit on at most about per_language documents for each language the labels name, STRETCHES stretches of each.
 
     One aggregate counts the labels; a hash of doc_id then draws the sample, so it is
     the same whatever the partitioning, and its size does not grow with the table.
     """
-    named = documents.select("doc_id", "text", named_languages(F.col("lang")).alias("codes")).filter((F.size("codes") == 1) & (F.length("text") > 40))
+    named = documents.select("doc_id", "text", named_languages(F.col("lang")).alias("codes")).filter((F.size("codes") == 1) & (F.length("text") > 40) & F.col("doc_id").isNotNull())
     labelled = named.select("doc_id", "text", F.col("codes")[0].alias("code"))
     counts = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([])
     share = F.create_map(*[F.lit(x) for code, n in counts.items() for x in (code, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    rows = labelled.filter(draw < share[F.col("code")]).select("code", F.substring("text", 1, 4000).alias("text"), "doc_id").limit(2 * per_language * len(counts)).collect()
-    return fit([(r["code"], r["text"]) for r in sorted(rows, key=lambda r: r["doc_id"])], seed)
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["doc_id", "code"]].assign(units=[stretches(i, t) for i, t in zip(pdf["doc_id"], pdf["text"])])
+
+    rows = labelled.filter(draw < share[F.col("code")]).mapInPandas(drawn, "doc_id long, code string, units array<string>").collect()
+    return fit([(r["code"], r["units"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["code"], r["units"]))], seed)
 
 
 # ---------------------------------------------------------------- application
 def _label_units(model: Model, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """For all units of a batch: document, best language, probabilities, words, scored words.
+    """For all units of a batch: document, best language, sharp and calibrated probabilities, words, scored words.
 
     Units are sentences and lines outside fenced code, the smallest stretches that get a language.
     """
@@ -251,14 +281,14 @@ def _label_units(model: Model, texts: list[str | None]) -> tuple[np.ndarray, ...
                 tokens += got
     k = len(model.languages)
     if not tokens or not k:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, k)), np.empty(0), np.empty(0)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, k)), np.empty((0, k)), np.empty(0), np.empty(0)
     rows = model.rows(tokens)
     ends = rows[:, k + 3] > 0
     ends[np.cumsum(lengths) - 1] = True
     starts = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
     sums = np.add.reduceat(rows, starts, axis=0)
-    p = model.probabilities(sums[:, :k], sums[:, k])
-    return np.repeat(doc, lengths)[starts], p.argmax(axis=1), p, sums[:, k + 1], sums[:, k + 2]
+    p, calibrated = (model.probabilities(sums[:, :k], sums[:, k], t) for t in (DECISION, model.temperature))
+    return np.repeat(doc, lengths)[starts], p.argmax(axis=1), p, calibrated, sums[:, k + 1], sums[:, k + 2]
 
 
 #: Units with fewer scored words, or a flatter distribution, cannot start a segment by themselves.
@@ -284,7 +314,7 @@ def _path(p: np.ndarray, scored: np.ndarray) -> np.ndarray:
 
 def _segments(model: Model, texts: list[str | None]) -> list[tuple[int, int, str, float, int]]:
     """(doc, segment, language, confidence, words): maximal runs of units in one language."""
-    doc, best, p, n_words, scored = _label_units(model, texts)
+    doc, best, p, calibrated, n_words, scored = _label_units(model, texts)
     out = []
     if not len(doc):
         return out
@@ -294,14 +324,14 @@ def _segments(model: Model, texts: list[str | None]) -> list[tuple[int, int, str
         seen = best[i:j][sure[i:j]]
         if not scored[i:j].any():
             continue
-        if len(seen) and (seen == seen[0]).all():
+        if len(seen) and (best[i:j][scored[i:j] > 0] == seen[0]).all():
             langs = np.full(j - i, seen[0])
         else:
             langs = _path(p[i:j], scored[i:j])
         cuts = [0, *(np.flatnonzero(np.diff(langs)) + 1).tolist(), j - i]
         for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
             weight = np.maximum(scored[i + a : i + b], 1e-9)
-            confidence = float((p[i + a : i + b, langs[a]] * weight).sum() / weight.sum())
+            confidence = float((calibrated[i + a : i + b, langs[a]] * weight).sum() / weight.sum())
             out.append((int(doc[i]), s, model.languages[langs[a]], confidence, int(n_words[i + a : i + b].sum())))
     return out
 

@@ -9,7 +9,6 @@ costing more than the one before. Seeded documents are then selected for the amo
 from __future__ import annotations
 
 import base64
-import importlib.util
 import os
 from collections.abc import Iterator
 
@@ -22,26 +21,18 @@ from sextant.session import materialize
 
 #: Where the vocabulary file of the public tokenizer lies; a parameter of every function here.
 VOCABULARY = os.path.join(os.environ.get("SEXTANT_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
-#: Patterns that enter the flow as they are; texts of rarer ones count for their scarcest source only.
-MAX_PATTERNS = 4096
-SLICES = 256
-# Fixed value: the splitting pattern that belongs to the vocabulary, used if its package does not give it.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Units of one pattern, about, that are put in line in one task.
+SLICE = 50_000
+# Fixed value: the splitting pattern that belongs to the vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def encoder(path: str):
-    """A byte-level BPE encoder from a file of base64 tokens and ranks."""
+def encoder(path: str, pattern: str = PATTERN):
+    """A byte-level BPE encoder from a file of base64 tokens and ranks, which is data only."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    pattern = PATTERN
-    init = os.path.join(os.path.dirname(path), "__init__.py")
-    if os.path.exists(init):
-        spec = importlib.util.spec_from_file_location("vocabulary_package", init)
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        pattern = getattr(module, "PATTERN", PATTERN)
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -197,34 +188,31 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
 
     Each row of the mix is one use of a text for a source. A text is used at most as often
     as the largest max_repeats of the sources it serves, for each source at most its own
-    max_repeats times; the uses of a text are given out over its copies. total_tokens
+    max_repeats times: copies are repetitions of their text, and its uses go to the copies of the wanting
+    source in turn (to the lowest doc_id of all where that source has none). total_tokens
     defaults to the largest total for which all sources that have documents get their
     share; their shares are rescaled to sum to 1, listed sources without documents get
     nothing and are reported so. Unlisted and null sources, and null and empty texts, are
-    not used. Shares are met up to one document per source, repetition and slice.
+    not used. Shares are met up to one document per source and repetition of a pattern. All patterns
+    take part in the flow; there are no more than sets of listed sources, or texts.
     """
     spark = documents.sparkSession
     targets = _targets(mix_targets)
     listed = spark.createDataFrame(sorted((s, v[0], v[1]) for s, v in targets.items()), "source string, target_share double, max_repeats int")
     wanted = documents.filter(F.lower(F.trim("source")).isin(sorted(targets)) if targets else F.lit(False))
     counted = materialize(count_tokens(wanted, vocabulary), "tokens")
-    # One unit per distinct text: its sources and its lowest document in each. collect_set is folded map-side.
-    units = counted.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.min("doc_id").alias("first"), F.max("tokens").alias("tokens"))
-    by_pattern = units.groupBy("sources").agg(F.sum("tokens").alias("tokens"))
-    kept = [(tuple(r["sources"]), r["tokens"]) for r in by_pattern.orderBy(F.desc("tokens"), "sources").limit(MAX_PATTERNS).collect()]
-    if not kept:
-        empty = spark.createDataFrame([], "doc_id long, source string, repetition int, tokens long")
-        return empty, _report(empty, listed)
-    scarce = {s: sum(n for p, n in kept if s in p) / targets[s][0] for s in targets}
-    order = F.create_map(*[F.lit(x) for s in targets for x in (s, float(scarce[s]))])
-    names = F.concat_ws("\n", "sources")
-    single = F.array_min(F.transform("sources", lambda s: F.struct(order[s].alias("w"), s.alias("s"))))["s"]
-    units = units.withColumn("pattern", F.when(names.isin(["\n".join(p) for p, _ in kept]), names).otherwise(single))
-    units = materialize(units.select("h1", "h2", "first", "tokens", "pattern"), "units")
+    # One unit per distinct text: its sources and its lowest document. collect_set is folded map-side and holds listed sources only.
+    units = counted.groupBy("h1", "h2").agg(F.array_join(F.array_sort(F.collect_set("source")), "\n").alias("pattern"), F.min("doc_id").alias("first"), F.max("tokens").alias("tokens"))
+    units = materialize(units, "units")
     patterns: dict[tuple[str, ...], int] = {}
-    for r in units.groupBy("pattern").agg(F.sum("tokens").alias("n")).collect():  # at most MAX_PATTERNS and one per source
+    slices: list[tuple[str, int]] = []
+    for r in units.groupBy("pattern").agg(F.sum("tokens").alias("n"), F.count("*").alias("units")).collect():  # one row a pattern
         if r["n"]:
             patterns[tuple(r["pattern"].split("\n"))] = r["n"]
+            slices.append((r["pattern"], -(-r["units"] // SLICE)))
+    if not patterns:
+        empty = spark.createDataFrame([], "doc_id long, source string, repetition int, tokens long")
+        return empty, _report(empty, listed)
     present = {s: v for s, v in targets.items() if any(s in p for p in patterns)}
     whole = sum(v[0] for v in present.values())
     present = {s: (share / whole, repeats) for s, (share, repeats) in present.items()}
@@ -239,8 +227,10 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
                 stretches.append(("\n".join(p), r, s, at, at + n))
                 at += n
     stretches = spark.createDataFrame(stretches, "pattern string, repetition int, wanted_by string, begins long, ends long")
-    seeded = units.withColumn("draw", F.xxhash64("h1", "h2", F.lit(seed))).withColumn("slice", F.pmod("draw", F.lit(SLICES)).cast("int"))
-    sums = seeded.groupBy("pattern", "slice").agg(F.sum("tokens").alias("n"))  # SLICES rows per pattern
+    sliced = F.broadcast(spark.createDataFrame(slices, "pattern string, slices long"))  # one row a pattern
+    draw = F.xxhash64("h1", "h2", F.lit(seed))
+    seeded = units.join(sliced, "pattern").withColumn("draw", draw).withColumn("slice", F.pmod("draw", F.col("slices"))).drop("slices")
+    sums = seeded.groupBy("pattern", "slice").agg(F.sum("tokens").alias("n"))  # a row for each SLICE units
     before = F.coalesce(F.sum("n").over(Window.partitionBy("pattern").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = seeded.join(sums.select("pattern", "slice", before.alias("base")), ["pattern", "slice"])
     inside = F.sum("tokens").over(Window.partitionBy("pattern", "slice").orderBy("draw", "first").rowsBetween(Window.unboundedPreceding, -1))
@@ -248,9 +238,13 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
     middle = F.col("at") + F.col("tokens") / 2
     chosen = placed.join(F.broadcast(stretches), "pattern").filter((middle >= F.col("begins")) & (middle < F.col("ends")))  # patterns x repetitions x sources rows
     chosen = chosen.select("h1", "h2", "first", F.col("wanted_by").alias("source"), "repetition", "tokens")
-    # A use goes to the copy that the wanting source holds.
-    own = counted.groupBy("h1", "h2", "source").agg(F.min("doc_id").alias("doc_id"))
-    mixed = chosen.join(own, ["h1", "h2", "source"], "left").select(F.coalesce("doc_id", "first").alias("doc_id"), "source", "repetition", "tokens")
+    # The uses of a text go in turn to the copies that the wanting source holds; more copies than uses are not needed.
+    most = max(repeats for _, repeats in targets.values())
+    turn = Window.partitionBy("h1", "h2", "source").orderBy("doc_id")
+    own = counted.select("h1", "h2", "source", "doc_id").withColumn("r", F.row_number().over(turn)).filter(F.col("r") <= most)
+    own = own.groupBy("h1", "h2", "source").agg(F.array_sort(F.collect_list("doc_id")).alias("copies"))
+    mine = F.element_at("copies", F.pmod(F.col("repetition") - 1, F.size("copies")).cast("int") + 1)
+    mixed = chosen.join(own, ["h1", "h2", "source"], "left").select(F.coalesce(F.when(F.col("copies").isNotNull(), mine), "first").alias("doc_id"), "source", "repetition", "tokens")
     mixed = materialize(mixed, "mix")
     return mixed, _report(mixed, listed)
 

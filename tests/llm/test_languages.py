@@ -25,7 +25,7 @@ def model():
     for lang in TEXTS:
         for _ in range(60):
             label = lang if rng.random() < 0.9 else "en"
-            rows.append((label, "\n\n".join(" ".join(sentence(lang, rng) for _ in range(3)) for _ in range(3))))
+            rows.append((label, [" ".join(sentence(lang, rng) for _ in range(3)) for _ in range(3)]))
     return g.fit(rows)
 
 
@@ -75,3 +75,50 @@ def test_labels_in_any_notation(spark):
     rows = [("en",), ("EN_us",), ("eng",), (" English ",), ("de-AT",), ("ger",), ("pt-BR",), ("??",), ("",), (None,), ("fr, nld",), ("xx",), ("nl-Latn-BE",)]
     got = [r[0] for r in spark.createDataFrame(rows, "lang string").select(g.named_languages(F.col("lang"))).collect()]
     assert got == [["en"], ["en"], ["en"], ["en"], ["de"], ["de"], ["pt"], [], [], [], ["fr", "nl"], [], ["nl"]]
+
+
+def test_confidence_is_reliable():
+    """Held-out units from languages that share most words, under dirty labels: the mean confidence is the accuracy."""
+    rng = random.Random(3)
+    common = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ru") for b in ("ta", "so", "vi", "pe", "du")]
+    own = {"aa": ["zork", "zilk", "zamp"], "bb": ["quof", "quin", "quap"], "cc": ["wyth", "wexl", "wudd"]}
+
+    def unit(lang):
+        return " ".join(rng.choice(own[lang]) if rng.random() < 0.12 else rng.choice(common) for _ in range(6)) + "."
+
+    def labelled(n, noise):
+        for _ in range(n):
+            lang = rng.choice(list(own))
+            yield rng.choice(list(own)) if rng.random() < noise else lang, lang, [unit(lang) for _ in range(4)]
+
+    model = g.fit([(label, units) for label, _, units in labelled(600, 0.1)])
+    confidence, right = [], []
+    for _, lang, units in labelled(250, 0):
+        for text in units:
+            _, best, _, p, _, _ = g._label_units(model, [text])
+            confidence.append(float(p[0, best[0]]))
+            right.append(model.languages[best[0]] == lang)
+    assert abs(sum(confidence) / len(confidence) - sum(right) / len(right)) < 0.08
+    sure = [r for c, r in zip(confidence, right) if c >= 0.9]
+    unsure = [r for c, r in zip(confidence, right) if c < 0.6]
+    assert sure and sum(sure) / len(sure) >= 0.85 and sum(unsure) / len(unsure) < 0.7
+
+
+def test_temperature_finds_the_share_of_wrong_labels():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    scores = rng.normal(size=(4000, 5)) * 2
+    p = np.exp(scores / 0.5)
+    p /= p.sum(axis=1, keepdims=True)
+    labels = np.array([rng.choice(5, p=x) for x in p])
+    wrong = rng.random(4000) < 0.2
+    labels[wrong] = rng.integers(5, size=wrong.sum())
+    t, noise = g.temperature(scores, labels)
+    assert 0.4 < t < 0.65 and 0.12 < noise < 0.28
+
+
+def test_stretches_come_from_the_whole_text():
+    text = "\n".join(f"line number {n} of a long enough document" for n in range(400))
+    assert any(int(x.split()[2]) > 100 for x in g.stretches(5, text)) and len(g.stretches(5, text)) == g.STRETCHES
+    assert g.stretches(5, None) == [] and all(len(x) <= g.STRETCH for x in g.stretches(1, "word " * 9000))

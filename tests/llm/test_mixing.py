@@ -50,6 +50,26 @@ def test_shares_repeats_and_report(spark):
     assert none.count() == 0 and report.count() == 3
 
 
+def test_uses_go_to_the_copies_in_turn_and_no_pattern_is_dropped(spark, monkeypatch):
+    monkeypatch.setattr(m, "SLICE", 3)
+    docs = [(n, text(0), "a") for n in range(4)] + [(10 + n, text(10 + n), "a") for n in range(20)]
+    names = "bcdefghij"
+    for i in range(9):  # every pair of neighbours shares one text
+        docs += [(100 + 2 * i, text(50 + i), names[i]), (101 + 2 * i, text(50 + i), names[(i + 1) % 9])]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.1, 3)] + [(s, 0.1, 1) for s in names], "source string, target_share double, max_repeats int")
+    mixed, report = m.mix(documents, targets)
+    rows = mixed.collect()
+    uses = {}
+    for r in rows:
+        uses[r["doc_id"]] = uses.get(r["doc_id"], 0) + 1
+        assert r["repetition"] <= (3 if r["source"] == "a" else 1)
+    assert max(uses.values()) <= 3
+    repeated = m.mix(documents, targets.filter("source = 'a'"))[0].filter("doc_id < 4").collect()
+    assert sorted((r["repetition"], r["doc_id"]) for r in repeated) == [(1, 0), (2, 1), (3, 2)]
+    assert {r["source"]: r["uses"] for r in report.collect() if r["source"] != "a"} == dict.fromkeys(names, 1)
+
+
 def test_token_counts_round_trip():
     enc = m.encoder(m.VOCABULARY)
     for t in ("hello wörld", "", " \n\n x", "𝄞 <|endoftext|>"):
