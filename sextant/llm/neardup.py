@@ -8,9 +8,9 @@ the Hamming distance. Two sets of similarity t differ in at most (1-t)/(1+t) of
 sizes, which bounds the distance. Popcounts of segments wide enough for a grid cannot part
 texts at such thresholds (the bound is about what two unrelated texts reach), so the join is
 on the finest cells, single bits: the rarest ones of every set in one order of all, so many
-that no pair can be without a common one. What lies before a common bit in both orders is a
-part of the distance, and a range condition of the join; the segments' popcounts then bound
-the whole distance from below, and the texts themselves decide.
+that every pair has a certain number of them in common. What lies before a common bit in
+both orders is a part of the distance, and a range condition of the join; the segments'
+popcounts then bound the whole distance from below, and the texts themselves decide.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ WORDS = re.compile(r"[^\W_]+")
 SEGMENTS = 64
 #: Shingle hashes are counted in so many buckets to order them by rareness. Any counts give every pair.
 BUCKETS = 1 << 18
+#: Of every so many members of a set a pair must have one more in common among the rarest, of which as many more are taken.
+COMMON = 32
 #: Members of one class that are paired with all others in one task.
 PART = 2048
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -89,12 +91,12 @@ def frequencies(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def rarest(fp: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
-    """The rarest shingles of a set, so many that two sets at the threshold have one of them in common.
+    """The rarest shingles of a set, so many that two sets at the threshold have 1 + size // COMMON of them in common.
 
     All sets are put into one order; partners have threshold of a set's members in common, so
-    the first common one has no more than the other members before it in either set.
+    the l-th common one has no more than the other members and l - 1 common ones before it in either set.
     """
-    most = len(fp) - int(np.ceil(threshold * len(fp) - 1e-9)) + 1
+    most = len(fp) - int(np.ceil(threshold * len(fp) - 1e-9)) + 1 + len(fp) // COMMON
     order = np.lexsort((fp, counts[(fp % np.uint64(BUCKETS)).astype(np.int64)]))
     return fp[order[:most]].view(np.int64)
 
@@ -178,14 +180,16 @@ def near_classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, least:
     x = placed.select("shingle", F.col("rep").alias("rep_a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
     y = placed.select("shingle", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
     sized = (F.col("size_b") >= threshold * F.col("size_a") - 1e-9) & (F.col("size_a") >= threshold * F.col("size_b") - 1e-9)
-    # behind the first common shingle lie the others, so both sets must have enough left from there on
-    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-6
-    candidates = x.join(y, "shingle").filter((F.col("rep_a") < F.col("rep_b")) & sized & left).select("rep_a", "rep_b").distinct()
-    pops = lambda end: reps.select(F.col("rep").alias(f"rep_{end}"), F.col("size").alias(f"size_{end}"), F.col("pops").alias(f"pops_{end}"))
+    # behind the l-th common shingle lie the others, so both sets must have enough left from there on
+    needed = F.least(F.floor(F.col("size_a") / COMMON), F.floor(F.col("size_b") / COMMON)) + 1
+    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - needed + 1 - 1e-6
+    common = x.join(y, "shingle").filter((F.col("rep_a") < F.col("rep_b")) & sized & left).select("rep_a", "rep_b", "size_a", "size_b")
+    candidates = common.groupBy("rep_a", "rep_b").agg(F.count("*").alias("n"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b")).filter(F.col("n") >= needed).drop("n")
+    pops = lambda end: reps.select(F.col("rep").alias(f"rep_{end}"), F.col("pops").alias(f"pops_{end}"))
     close = candidates.join(pops("a"), "rep_a").join(pops("b"), "rep_b").mapInPandas(_bounded(threshold), "rep_a long, rep_b long")
     close = materialize(close, "candidates")
-    needed = close.select(F.explode(F.array("rep_a", "rep_b")).alias("seq")).distinct()
-    texts = rows.select("seq", "text").join(needed, "seq", "left_semi")
+    read = close.select(F.explode(F.array("rep_a", "rep_b")).alias("seq")).distinct()
+    texts = rows.select("seq", "text").join(read, "seq", "left_semi")
     links = (
         close.join(texts.select(F.col("seq").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
         .join(texts.select(F.col("seq").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
