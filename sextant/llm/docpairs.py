@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import re
 import textwrap
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -124,9 +125,15 @@ def python_islands(text: str) -> list[Island]:
     """Functions and methods with their docstrings; the body is what is indented deeper."""
     found: list[Island] = []
     strings = [(m.start(), m.end()) for m in re.finditer(r"\"\"\".*?\"\"\"|'''.*?'''", text, re.DOTALL)]
+    begins = [a for a, _ in strings]
+
+    def inside(at: int) -> bool:
+        n = bisect_left(begins, at) - 1
+        return n >= 0 and at < strings[n][1]
+
     owners: list[tuple[int, str]] = []
     for m in PY_DEF.finditer(text):
-        if any(a < m.start() < b for a, b in strings):
+        if inside(m.start()):
             continue
         indent = len(m["indent"].expandtabs(8))
         while owners and owners[-1][0] >= indent:
@@ -148,8 +155,7 @@ def python_islands(text: str) -> list[Island]:
             body = line.group()
             if not body:
                 break
-            inside = any(a < line.start() < b for a, b in strings)
-            if body.strip() and not inside and len(body.expandtabs(8)) - len(body.expandtabs(8).lstrip()) <= indent:
+            if body.strip() and not inside(line.start()) and len(body.expandtabs(8)) - len(body.expandtabs(8).lstrip()) <= indent:
                 break
             stop = line.end()
         quoted = PY_DOC.match(text, colon)
@@ -290,14 +296,33 @@ def informs(doc: str | None, known: set[str]) -> bool:
     return False
 
 
+def declared(owner: str, signature: str, comment: str | None) -> Island:
+    """The island of a comment and a declaration that stand without their file, read by the same grammar.
+
+    A comment may come without its marks. What is no declaration to the grammar keeps its whole text as the signature.
+    """
+    text = comment or ""
+    if not text.lstrip().startswith("/**"):
+        text = "/** " + re.sub(r"\A\s*/\*+|\*+/\s*\Z", "", text).replace("*/", "* /") + " */"
+    elif "*/" not in text.strip()[4:]:
+        text += " */"
+    body = signature.strip().rstrip(";{").rstrip()
+    name = owner.rpartition(".")[2] or "Owner"
+    found = java_islands(f"class {name if name.isidentifier() else 'Owner'} {{\n{text}\n{body};\n}}")
+    if len(found) == 1 and found[0].doc is not None:
+        return Island(owner, found[0].name, found[0].signature, comment if comment is None else found[0].doc, found[0].code)
+    return Island(owner, "", signature, comment, signature)
+
+
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep, docs = [], []
         for fqn, signature, javadoc in zip(pdf["id"], pdf["signature"], pdf["javadoc"]):
             owner, _, member = (fqn or "").rpartition("#")
-            known = name_stems(member, owner.rpartition(".")[2], signature)
-            keep.append(bool(informs(javadoc, known)))
-            docs.append(plain(javadoc) if javadoc is not None else None)
+            island = declared(owner, signature, javadoc)
+            known = name_stems(member, owner.rpartition(".")[2], island.name, island.signature)
+            keep.append(bool(informs(island.doc, known)))
+            docs.append(plain(island.doc) if island.doc is not None else None)
         yield pdf.assign(doc=docs)[keep]
 
 
@@ -314,6 +339,7 @@ def last_nodes(events: DataFrame) -> DataFrame:
 def documented_methods(events: DataFrame) -> DataFrame:
     """id, signature, javadoc, doc (plain text) of the methods whose last javadoc informs.
 
+    The island grammar reads comment, annotations and signature of every event as one declaration.
     Methods with a null or blank signature, a null or empty javadoc, or one that tells
     nothing are dropped. Ids occur once, however often their events are repeated.
     """

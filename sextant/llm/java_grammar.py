@@ -9,6 +9,7 @@ to decide between lambdas, casts and parentheses without backtracking over bodie
 from __future__ import annotations
 
 import re
+import sys
 
 
 class Rejected(Exception):
@@ -953,12 +954,25 @@ class Grammar:
         return "value"
 
 
+#: Frames the parser may use, some 12 for each level of nesting; what is nested deeper is a fault of its own kind.
+FRAMES = 3_000_000
+
+
 def check(text: str) -> tuple[str, int] | None:
-    """None for a valid compilation unit, else the kind of fault and its offset."""
+    """None for a valid compilation unit, else the kind of fault and its offset.
+
+    The verdict does not depend on how deep the interpreter's frames may go: they lie on the
+    heap and follow the number of tokens. Only beyond FRAMES is the reason "nesting".
+    """
+    usual = sys.getrecursionlimit()
     try:
-        Grammar(text).unit()
+        grammar = Grammar(text)
+        sys.setrecursionlimit(max(usual, min(FRAMES, 1000 + 40 * len(grammar.t))))
+        grammar.unit()
     except Rejected as fault:
         return fault.reason, fault.offset
-    except RecursionError:  # nested deeper than the parser follows: the delimiters matched
-        return None
+    except RecursionError:
+        return "nesting", grammar.t[grammar.i][2]
+    finally:
+        sys.setrecursionlimit(usual)
     return None

@@ -2,9 +2,10 @@
 
 Every lexer reads the text once, keeps a stack of open delimiters (and for Python the
 indentation), and names the first fault: unterminated_literal, unbalanced_delimiter,
-premature_end, merge_conflict, bad_literal, stray_character or grammar. JSON and Java
-are decided by these automata alone. YAML and Python files that their lexers let pass
-are then read by the YAML event parser and by the interpreter's own grammar.
+premature_end, merge_conflict, bad_literal, stray_character, nesting (deeper than a parser
+of the language follows) or grammar. JSON and Java are decided by these automata alone. YAML
+and Python files that their lexers let pass then get an exact check by the YAML event parser
+and the interpreter's own grammar.
 """
 
 from __future__ import annotations
@@ -148,32 +149,37 @@ def _py_field(text: str, pos: int, quote: str) -> int:
     raise Rejected("unterminated_literal", len(text))
 
 
+PY_INDENT = re.compile(r"[ \t\f]*")
+PY_HEADER = re.compile(r"(?:async[ \t]+)?def[ \t]+[^\W\d]\w*[ \t]*(?![(\[\w \t\\])|class[ \t]+[^\W\d]\w*[ \t]*(?![(\[:\w \t\\])")
+
+
 def _python_lexer(text: str) -> None:
     stack: list[tuple[str, int]] = []
-    indents = [0]
+    indents = [(0, 0)]  # columns with tabs to the next eighth, and with tabs as one
     pos, n, fresh, last = 0, len(text), True, ""
     while pos < n:
+        if fresh and MARKER.match(text, pos):  # no line of a statement or between brackets begins so
+            raise Rejected("merge_conflict", pos)
         if fresh and not stack:
-            line = re.compile(r"[ \t\f]*").match(text, pos)
+            line = PY_INDENT.match(text, pos)
             body = text[line.end() : line.end() + 1]
             if body and body not in "#\n\r":
-                if "\t" not in line.group():  # tabs are left to the grammar
-                    width = len(line.group().replace("\f", ""))
-                    if width > indents[-1]:
-                        if last != ":":
-                            raise Rejected("grammar", pos)
-                        indents.append(width)
-                    else:
-                        while width < indents[-1]:
-                            indents.pop()
-                        if width != indents[-1]:
-                            raise Rejected("unbalanced_delimiter", pos)
+                space = line.group().rpartition("\f")[2]
+                width = len(space.expandtabs(8)), len(space)
+                if width[0] > indents[-1][0]:
+                    if last != ":" or width[1] <= indents[-1][1]:
+                        raise Rejected("grammar", pos)
+                    indents.append(width)
                 else:
-                    indents[-1:] = [len(line.group().expandtabs(8))]
-            if not line.group() and MARKER.match(text, pos):
-                raise Rejected("merge_conflict", pos)
+                    while width[0] < indents[-1][0]:
+                        indents.pop()
+                    if width != indents[-1]:
+                        raise Rejected("unbalanced_delimiter", pos)
+                if PY_HEADER.match(text, line.end()):
+                    raise Rejected("grammar", line.end())
             pos, fresh = line.end(), False
             continue
+        fresh = False
         ch = text[pos]
         if ch == "#":
             end = text.find("\n", pos)
@@ -205,19 +211,18 @@ def _python_lexer(text: str) -> None:
 
 def check_python(text: str) -> tuple[str, int] | None:
     body = text[1:] if text.startswith("﻿") else text
-    if "\t" not in body:  # mixed tabs: columns depend on rules that only the grammar knows
-        try:
-            _python_lexer(body.replace("\r\n", "\n"))
-        except Rejected as fault:
-            return fault.reason, fault.offset
+    try:
+        _python_lexer(body.replace("\r\n", "\n"))
+    except Rejected as fault:
+        return fault.reason, fault.offset
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(body)
     except (SyntaxError, ValueError) as fault:
         return "grammar", int(getattr(fault, "offset", 0) or 0)
-    except (RecursionError, MemoryError):
-        return None
+    except (RecursionError, MemoryError):  # the interpreter refuses such a file
+        return "nesting", 0
     return None
 
 
@@ -225,10 +230,25 @@ def check_python(text: str) -> tuple[str, int] | None:
 YAML_VALUE = re.compile(r"(?:[^\S\n]*(?:-[ \t]+|\?[ \t]+|[^\s:#'\"\[\]{},&*!|>%@`-][^:#\n'\"]*:[ \t]+|(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\n]|'')*')[ \t]*:[ \t]+))*[ \t]*")
 
 
+# A line at the margin that begins an entry of a block collection, and one that is a document's start or end.
+YAML_ENTRY = re.compile(r"[-?](?=[ \t\r\n]|$)|(?![\s#'\"\[\]{}&*!|>%@`,?-]|---|\.\.\.)[^\n#]*?:(?=[ \t\r\n]|$)")
+YAML_DOCUMENT = re.compile(r"(?:---|\.\.\.)(?=\s|$)")
+YAML_KEY = re.compile(r"[^\n]*:(?:[ \t\r\n]|$)")
+
+
 def _yaml_lexer(text: str) -> None:
-    """Quoted scalars and flow collections that stand where a value begins; block scalars are skipped by indentation."""
-    pos, n = 0, len(text)
+    """Quoted scalars and flow collections that stand where a value begins; block scalars are skipped by indentation.
+
+    While a block collection is open at the margin, a conflict marker there can only be a key, which ends with a colon.
+    """
+    pos, n, entries = 0, len(text), False
     while pos < n:
+        if YAML_DOCUMENT.match(text, pos):
+            entries = False
+        elif entries and MARKER.match(text, pos) and not YAML_KEY.match(text, pos):
+            raise Rejected("merge_conflict", pos)
+        elif YAML_ENTRY.match(text, pos):
+            entries = True
         head = YAML_VALUE.match(text, pos)
         at = head.end()
         line_end = text.find("\n", at)
@@ -301,8 +321,6 @@ def check_yaml(text: str) -> tuple[str, int] | None:
         mark = getattr(fault, "problem_mark", None)
         at = mark.index if mark is not None else 0
         return ("merge_conflict" if MARKER.search(text) else "grammar"), at
-    except RecursionError:
-        return None
     return None
 
 
@@ -316,7 +334,7 @@ def check(lang: str | None, text: str | None) -> tuple[str, int] | None:
     try:
         return CHECKS[lang](text)
     except RecursionError:
-        return None
+        return "nesting", 0
 
 
 def parse_faults(files: DataFrame) -> DataFrame:

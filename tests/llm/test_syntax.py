@@ -130,3 +130,42 @@ def test_rows_and_rates(spark):
     rates = {(r["repo"], r["lang"]): (r["files"], r["invalid"], r["rate"]) for r in syntax.fault_rates(files).collect()}
     assert rates[("r", "json")] == (3, 2, 0.666667) and rates[(None, "markdown")] == (1, 0, 0.0)
     assert syntax.parse_faults(files.limit(0)).count() == 0
+
+
+def nested(inner, deep):
+    return "class A { int f() { return " + "(" * deep + inner + ")" * deep + "; } }"
+
+
+@pytest.mark.parametrize("deep", [2, 300, 3000, 40_000])
+def test_depth_changes_no_verdict(deep):
+    assert check("java", nested("1", deep)) is None
+    assert check("java", nested("1 1", deep)) == ("grammar", nested("1 1", deep).index("1 1") + 2)
+    chain = "class A { void f() { " + "if (a) b(); else " * deep
+    assert check("java", chain + "c(); } }") is None and check("java", chain + "c() } }")[0] == "grammar"
+
+
+def test_nesting_beyond_every_parser_is_named(monkeypatch):
+    from sextant.llm import java_grammar
+
+    monkeypatch.setattr(java_grammar, "FRAMES", 5000)
+    assert check("java", nested("1", 3000))[0] == "nesting"
+    assert check("python", "x = " + "-" * 500_000 + "1")[0] == "nesting"
+    assert check("python", "x = " + "(" * 3000 + "1" + ")" * 3000) is not None  # the interpreter's own limit
+
+
+def test_tabs_do_not_hide_faults():
+    head = "def f():\n\tif x:\n\t\treturn 1\n"
+    assert check("python", head) is None and check("python", "if x:\n\ty = 1\n        z = 2\n") is not None
+    assert check("python", head + "<<<<<<< HEAD\ny = 1\n")[0] == "merge_conflict"
+    assert check("python", head + "s = 'open\n")[0] == "unterminated_literal"
+    assert check("python", "x = [\n1,\n=======\n2]\n")[0] == "merge_conflict"
+    assert check("python", "def f:\n    pass\n") == ("grammar", 0) and check("python", "class A[T]:\n    def g[U](x): pass\n") is None
+
+
+def test_yaml_markers_are_found_by_the_lexer():
+    for text in ("a: 1\n<<<<<<< HEAD\nb: 2\n=======\nb: 3\n>>>>>>> x\n", "- a\n=======\n- b\n", "a:\n  - b\n>>>>>>> main\n"):
+        with pytest.raises(syntax.Rejected) as fault:
+            syntax._yaml_lexer(text)
+        assert fault.value.reason == "merge_conflict" and check("yaml", text)[0] == "merge_conflict"
+    for text in ("text\n=======\nmore\n", "a: |\n  x\n  =======\n  y\nb: 1\n", "a: 1\n<<<<<<< b: 2\n", "a: 1\n---\n=======\n", "a: '\n\n  =======\n'\n"):
+        assert check("yaml", text) is None, text
