@@ -12,6 +12,8 @@ class EngineConfig:
     candidate_k: int = 50
     spec_max_ops: int = 200
     dim: int = 384
+    analyzer: str = "standard"  # or simple
+    model_dir: str | None = None
     rerank: bool = False
     budget_tokens: int = 6000
     chars_per_token: int = 4

@@ -27,9 +27,14 @@ def tokens(text: Column, mode: str = "simple") -> Column:
     return F.flatten(pieces)
 
 
-def query_terms(query: str | None) -> list[str]:
-    """Terms of a query as the simple analyzer cuts them; capitalised AND, OR, NOT are plain terms."""
-    return re.findall(r"\w+", (query or "").lower())
+def query_terms(query: str | None, mode: str = "simple") -> list[str]:
+    """Terms of a query as the analyzer of texts cuts them; capitalised AND, OR, NOT are plain terms."""
+    if mode == "simple":
+        return re.findall(r"\w+", (query or "").lower())
+    import regex
+
+    found = regex.findall(STANDARD, (query or "").lower())
+    return [t[a : a + MAX_TOKEN] for t in found for a in range(0, len(t), MAX_TOKEN)]
 
 
 def cut_at_space(text: Column, most: int) -> Column:
@@ -69,6 +74,11 @@ def token_estimate(text: Column, chars_per_token: int = 4) -> Column:
     return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(n / chars_per_token).cast("int")))
 
 
+def fits(text: Column, budget: int | Column, chars_per_token: int = 4) -> Column:
+    """Whether a text is within a budget of tokens; null counts as empty."""
+    return token_estimate(text, chars_per_token) <= (budget if isinstance(budget, Column) else F.lit(budget))
+
+
 def truncate_to_fit(text: Column, budget: int | Column, chars_per_token: int = 4) -> Column:
     """At most budget tokens, cut at the last space that is not at the start."""
     text = F.coalesce(text, F.lit(""))

@@ -237,10 +237,10 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def chunk_rows(parsed: DataFrame, config: EngineConfig = DEFAULTS, embed: bool = True) -> DataFrame:
-    """Chunk rows, the last of each key kept (file order, then order in the file)."""
+    """Chunk rows, the last of each key kept (file order, files of one time by path, then order in the file)."""
     rows = parsed.filter("kind = 'C'").withColumn("seq", F.col("seq") * 1_000_000 + F.col("ord"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*config.chunk_key).orderBy(F.desc("seq")))).filter("_n = 1")
-    vector = V.embed_udf(config.dim)(F.col("text")) if embed else F.lit(None).cast("array<float>")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*config.chunk_key).orderBy(F.desc("seq"), F.desc("path")))).filter("_n = 1")
+    vector = V.embedder(config.model_dir, config.dim)(F.col("text")) if embed else F.lit(None).cast("array<float>")
     return rows.withColumn("vector", vector).select(*_CHUNK)
 
 

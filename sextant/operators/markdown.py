@@ -8,6 +8,10 @@ do not part sections.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 
 ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
@@ -131,6 +135,16 @@ def pack(text: str, most: int = 4000) -> list[str]:
     return out
 
 
+def packed(rows: DataFrame, most: int = 4000) -> DataFrame:
+    """seq, part, text: the packed pieces of each (seq, text), from part 0; null texts give none."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(seq, n, piece) for seq, text in zip(pdf["seq"], pdf["text"]) for n, piece in enumerate(pack(text, most))], columns=["seq", "part", "text"])
+
+    return rows.filter("text is not null").select("seq", "text").mapInPandas(work, "seq long, part int, text string")
+
+
 def slug(heading: str | None) -> str:
     if heading is None or not heading.strip():
         return "body"

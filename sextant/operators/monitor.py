@@ -17,10 +17,11 @@ def count_by_filter(chunks: DataFrame, where: SearchFilter = ANY) -> DataFrame:
     return chunks.filter(where.condition()).agg(F.count("*").alias("n"))
 
 
-def branch_stats(chunks: DataFrame, tracked: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Per tracked (repo, branch): code, knowledge and all chunks, and the last commit; one aggregate for all branches.
+def branch_stats(chunks: DataFrame, tracked: DataFrame, checkpoints: DataFrame, last_sync: DataFrame | None = None, activity: Activity | None = None) -> DataFrame:
+    """Per tracked (repo, branch): code, knowledge and all chunks, last commit, time of the repo's last synchronisation, and whether it is being indexed.
 
-    A null branch is a value of its own. Tracked branches without chunks count 0.
+    One aggregate serves all branches. A null branch is a value of its own. Tracked branches without
+    chunks count 0. last_sync: repo, at (timestamp); the latest counts, in ISO form.
     """
     kind = lambda d: F.count_if(F.col("domain") == d)
     per = chunks.groupBy("repo", "branch").agg(kind("CODE").alias("code_chunks"), kind("KNOWLEDGE").alias("knowledge_chunks"), F.count("*").alias("total_chunks"))
@@ -32,12 +33,19 @@ def branch_stats(chunks: DataFrame, tracked: DataFrame, checkpoints: DataFrame)
         return left.join(right, same, "left").drop("_repo", "_branch")
 
     joined = attach(attach(tracked.select("repo", "branch"), per), shas)
+    iso = F.lit(None).cast("string").alias("last_sync_at")
+    if last_sync is not None:
+        joined = joined.join(last_sync.groupBy("repo").agg(F.max("at").alias("_at")), "repo", "left")
+        iso = F.date_format("_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_sync_at")
+    running = sorted(activity.open()) if activity is not None else []
+    key = F.concat_ws(":", "repo", "branch")  # a null branch is keyed by the repo alone
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return joined.select("repo", "branch", zero("code_chunks"), zero("knowledge_chunks"), zero("total_chunks"), "last_sha")
+    return joined.select("repo", "branch", zero("code_chunks"), zero("knowledge_chunks"), zero("total_chunks"), "last_sha", iso, key.isin(running).alias("indexing"))
 
 
-def status(stats: DataFrame, indexing: bool = False) -> DataFrame:
-    return stats.agg(F.coalesce(F.sum("total_chunks"), F.lit(0)).alias("total_chunks"), F.count("*").alias("branches")).withColumn("any_indexing", F.lit(indexing))
+def status(stats: DataFrame) -> DataFrame:
+    """total_chunks, branches, any_indexing over the rows of branch_stats."""
+    return stats.agg(F.coalesce(F.sum("total_chunks"), F.lit(0)).alias("total_chunks"), F.count("*").alias("branches"), F.coalesce(F.max("indexing"), F.lit(False)).alias("any_indexing"))
 
 
 class Activity:
@@ -67,6 +75,10 @@ class Activity:
         with self._lock:
             return self.key(repo, branch) in self._open
 
+    def open(self) -> list[str]:
+        with self._lock:
+            return list(self._open)
+
     def any(self) -> bool:
         with self._lock:
             return bool(self._open)

@@ -45,7 +45,7 @@ def hits(ranked: DataFrame, snippet_chars: int = DEFAULTS.snippet_chars) -> Data
     return ranked.select(*HIT, T.snippet(F.col("text"), snippet_chars).alias("snippet"), *extra)
 
 
-def _k(k: int) -> int:
+def natural(k: int) -> int:
     if k < 0:
         raise ValueError("k must not be negative")
     return k
@@ -96,7 +96,7 @@ def bm25_scores(chunks: DataFrame, query: str | None, where: SearchFilter = ANY,
 
 def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows. Conditions on the score come after it: before it they would be pushed down and the score computed twice."""
-    return df.orderBy(*order).limit(_k(k))
+    return df.orderBy(*order).limit(natural(k))
 
 
 def bm25(chunks: DataFrame, query: str | None, k: int = DEFAULTS.default_k, where: SearchFilter = ANY, mode: str = "simple") -> DataFrame:
@@ -113,7 +113,7 @@ def knn(chunks: DataFrame, vector: list[float], k: int = DEFAULTS.default_k, whe
 
 def knn_hashed(chunks: DataFrame, query: str | None, k: int = DEFAULTS.default_k, where: SearchFilter = ANY, dim: int = DEFAULTS.dim) -> DataFrame:
     """As knn, with the hashing embedding of the rows' texts and of the query."""
-    q = V.embed_text(query, dim)
+    q = V.hash_counts(query, dim)
     if not any(q):
         return chunks.withColumn("score", F.lit(0.0)).limit(0)
     scored = chunks.filter(where.condition()).withColumn("score", V.knn_score(V.hashed_cosine(F.col("text"), q)))
@@ -140,7 +140,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, k: int, constant: int = DEFAUL
         leg_rank("k").alias("k_rank"),
         F.min_by(F.struct(*kept), "leg").alias("row"),
     )
-    top = fused.orderBy(F.desc("rrf_score"), F.asc_nulls_last("b_rank"), F.asc_nulls_last("k_rank"), "seq").limit(_k(k))
+    top = fused.orderBy(F.desc("rrf_score"), F.asc_nulls_last("b_rank"), F.asc_nulls_last("k_rank"), "seq").limit(natural(k))
     order = Window.orderBy(F.desc("rrf_score"), F.asc_nulls_last("b_rank"), F.asc_nulls_last("k_rank"), "seq")
     return top.withColumn("rank", F.row_number().over(order)).select("seq", "row.*", "rrf_score", "rank")
 
@@ -165,12 +165,22 @@ Reranker = Callable[[str, Column], Column]
 
 def hybrid_rerank(chunks: DataFrame, query: str | None, k: int = DEFAULTS.default_k, where: SearchFilter = ANY, reranker: Reranker | None = None, candidate_k: int = DEFAULTS.candidate_k, dim: int = DEFAULTS.dim) -> DataFrame:
     """Hybrid search of max(k, candidate_k) rows, then the reranker's order, ties in the order before; without one the first k."""
-    found = hybrid(chunks, query, max(_k(k), candidate_k), where, candidate_k, dim)
+    return reranked(hybrid(chunks, query, max(natural(k), candidate_k), where, candidate_k, dim), query, k, reranker)
+
+
+def reranked(found: DataFrame, query: str | None, k: int, reranker: Reranker | None) -> DataFrame:
+    """Rows with rank and text in the reranker's order, ties in the order before; without one the first k."""
     if reranker is None:
-        return found.orderBy("rank").limit(k)
+        return found.orderBy("rank").limit(natural(k))
     scored = found.withColumn("rerank_score", reranker(query or "", T.snippet(F.col("text"))))
     order = (F.desc("rerank_score"), F.asc("rank"))
-    return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return scored.orderBy(*order).limit(natural(k)).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def rerank_texts(texts: DataFrame, query: str, reranker: Reranker, top: int) -> DataFrame:
+    """The top best of (seq, text) by the reranker, with rerank_score, ties by seq; null texts count as empty."""
+    scored = texts.withColumn("rerank_score", reranker(query, F.coalesce("text", F.lit(""))))
+    return scored.orderBy(F.desc("rerank_score"), "seq").limit(natural(top))
 
 
 def cross_encoder(model_path: str, tokenizer_path: str, max_tokens: int = 512) -> Reranker:
@@ -211,7 +221,7 @@ def by_name_fragment(chunks: DataFrame, fragment: str, type_: str | None = None,
     if type_ is not None:
         named = named.filter(F.col("type") == type_)
     found = named.filter(exact | F.col("fqn_simple").rlike(f"^{pattern}"))
-    return found.withColumn("exact", exact.cast("int")).orderBy(F.desc("exact"), "fqn_simple", "id", "seq").limit(_k(k)).drop("exact")
+    return found.withColumn("exact", exact.cast("int")).orderBy(F.desc("exact"), "fqn_simple", "id", "seq").limit(natural(k)).drop("exact")
 
 
 def symbol_refs(found: DataFrame) -> DataFrame:
@@ -232,7 +242,7 @@ def title_by_id(chunks: DataFrame, id_: str) -> DataFrame:
 
 def by_type(chunks: DataFrame, type_: str, repo: str | None = None, k: int | None = None) -> DataFrame:
     found = chunks.filter(SearchFilter(type=type_, repo=repo).condition())
-    return found if k is None else found.orderBy("seq").limit(_k(k))
+    return found if k is None else found.orderBy("seq").limit(natural(k))
 
 
 def symbol_body(chunks: DataFrame, fqn: str, most: int = DEFAULTS.max_body_chars) -> DataFrame:
@@ -244,40 +254,14 @@ def symbol_body(chunks: DataFrame, fqn: str, most: int = DEFAULTS.max_body_chars
     return text_by_fqn(chunks, fqn).select(body.alias("body"))
 
 
-def design_for_symbol(chunks: DataFrame, fqn: str, reranker: Reranker | None = None) -> DataFrame:
+def design_for_symbol(index, fqn: str, reranker: Reranker | None = None) -> DataFrame:
+    """Knowledge about a symbol: a search for its simple name in a SearchIndex."""
     name = fqn[max(fqn.rfind("."), fqn.rfind("#")) + 1 :].split("(")[0]
-    return hybrid_rerank(chunks, name, DEFAULTS.cross_domain_k, SearchFilter(domain="KNOWLEDGE"), reranker)
+    return index.hybrid_rerank(name, DEFAULTS.cross_domain_k, SearchFilter(domain="KNOWLEDGE"), reranker)
 
 
-def code_for_document(chunks: DataFrame, id_: str, reranker: Reranker | None = None) -> DataFrame:
-    row = title_by_id(chunks, id_).first()
+def code_for_document(index, id_: str, reranker: Reranker | None = None) -> DataFrame:
+    """Code about a document: a search for its title (its id if it has none) in a SearchIndex."""
+    row = title_by_id(index.rows, id_).first()
     query = row["title"] if row and row["title"] else id_
-    return hybrid_rerank(chunks, query, DEFAULTS.cross_domain_k, SearchFilter(domain="CODE"), reranker)
-
-
-# ---------------------------------------------------------------- materialised index
-def postings(chunks: DataFrame, mode: str = "simple") -> DataFrame:
-    """term, seq, tf: write it sorted by term, and scans of a few terms skip the rest by min and max."""
-    terms = chunks.select("seq", F.explode(T.tokens(F.col("text"), mode)).alias("term"))
-    return terms.groupBy("term", "seq").agg(F.count("*").cast("int").alias("tf"))
-
-
-def document_lengths(chunks: DataFrame, mode: str = "simple") -> DataFrame:
-    return chunks.select("seq", F.size(T.tokens(F.col("text"), mode)).alias("dl"))
-
-
-def bm25_from_postings(index: DataFrame, lengths: DataFrame, query: str | None, k: int = DEFAULTS.default_k) -> DataFrame:
-    """seq, score of the k best documents from a materialised index; only the query's terms are read."""
-    terms = T.query_terms(query)
-    if not terms:
-        return index.sparkSession.createDataFrame([], "seq long, score double")
-    mine = index.filter(F.col("term").isin(sorted(set(terms))))
-    df = {r["term"]: r["n"] for r in mine.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row per query term
-    total = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
-    idf = {t: math.log(1 + (total["n"] - n + 0.5) / (n + 0.5)) * terms.count(t) for t, n in df.items()}
-    if not idf:
-        return index.sparkSession.createDataFrame([], "seq long, score double")
-    weight = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
-    saturated = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / total["avg"]))
-    scored = mine.join(lengths, "seq").groupBy("seq").agg(F.sum(weight[F.col("term")] * saturated).alias("score"))
-    return scored.orderBy(F.desc("score"), "seq").limit(_k(k))
+    return index.hybrid_rerank(query, DEFAULTS.cross_domain_k, SearchFilter(domain="CODE"), reranker)

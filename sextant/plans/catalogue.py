@@ -36,31 +36,38 @@ def _vector(df: DataFrame) -> list[float]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return search.hits(search.hybrid(corpora.document_chunks(spark, d), QUERY, 10))
+    return search.hits(corpora.search_index(spark, d, "documents").hybrid(QUERY, 10))
 
 
 # ---------------------------------------------------------------- ranked retrieval
+@query
+def index_documents(spark, d):
+    """Builds the index anew: documents, terms and postings of it."""
+    index = corpora.build_index(spark, d, "documents")
+    facts = index.terms.agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.coalesce(F.sum("cf"), F.lit(0)).alias("tokens"))
+    return facts.select(F.lit(index.documents).cast("long").alias("documents"), "terms", "postings", "tokens")
+
+
 @query
 def bm25_topk(spark, d):
-    return search.bm25(corpora.document_chunks(spark, d), QUERY, 10).select("seq", _r("score"))
+    return corpora.search_index(spark, d, "documents").lexical(QUERY, 10).select("seq", _r("score"))
 
 
 @query
 def bm25_filtered(spark, d):
     where = SearchFilter(domain="KNOWLEDGE", type="MD_SECTION")
-    return search.bm25(corpora.chunks(spark, d).select("seq", "domain", "type", "text"), QUERY, 10, where).select("seq", _r("score"))
+    return corpora.search_index(spark, d, "chunks").lexical(QUERY, 10, where).select("seq", _r("score"))
 
 
 @query
-def bm25_postings(spark, d):
-    docs = corpora.document_chunks(spark, d)
-    return search.bm25_from_postings(search.postings(docs), search.document_lengths(docs), QUERY, 10).select("seq", _r("score"))
+def bm25_scan(spark, d):
+    """BM25 over texts without an index."""
+    return search.bm25(corpora.document_chunks(spark, d), QUERY, 10).select("seq", _r("score"))
 
 
 @query
 def document_frequencies(spark, d):
-    index = search.postings(corpora.document_chunks(spark, d))
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return corpora.search_index(spark, d, "documents").terms.select("term", "df", "cf")
 
 
 @query
@@ -83,33 +90,39 @@ def knn_chunks(spark, d):
 
 @query
 def hash_embedding_knn(spark, d):
+    return corpora.search_index(spark, d, "documents").semantic(QUERY, 10).select("seq", _r("score"))
+
+
+@query
+def hash_embedding_scan(spark, d):
+    """The same neighbours without an index."""
     return search.knn_hashed(corpora.document_chunks(spark, d), QUERY, 10).select("seq", _r("score"))
 
 
 @query
 def hybrid_rrf(spark, d):
-    return search.hybrid(corpora.document_chunks(spark, d), QUERY, 10).select("seq", _r("score"), _r("rrf_score"), F.col("rank").cast("long").alias("rank"))
+    return corpora.search_index(spark, d, "documents").hybrid(QUERY, 10).select("seq", _r("score"), _r("rrf_score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def hybrid_rerank(spark, d):
-    found = search.hybrid_rerank(corpora.document_chunks(spark, d), QUERY, 10, reranker=search.lexical_overlap)
+    found = corpora.search_index(spark, d, "documents").hybrid_rerank(QUERY, 10, reranker=search.lexical_overlap)
     return found.select("seq", _r("rerank_score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def design_for_symbol(spark, d):
-    return search.hits(search.design_for_symbol(corpora.chunks(spark, d), "dev.example.FilterIndex#queue(long)"))
+    return search.hits(search.design_for_symbol(corpora.search_index(spark, d, "chunks"), "dev.example.FilterIndex#queue(long)"))
 
 
 @query
 def code_for_document(spark, d):
-    return search.hits(search.code_for_document(corpora.chunks(spark, d), "queue filter segment"))
+    return search.hits(search.code_for_document(corpora.search_index(spark, d, "chunks"), "queue filter segment"))
 
 
 @query
 def answer_context(spark, d):
-    found = search.hits(search.hybrid(corpora.document_chunks(spark, d), QUERY, 10))
+    found = search.hits(corpora.search_index(spark, d, "documents").hybrid(QUERY, 10))
     return compact.compact(found, 400)
 
 
@@ -197,8 +210,8 @@ def count_by_filter(spark, d):
 
 @query
 def index_monitor(spark, d):
-    marks = table(spark, d, "checkpoints")
-    return monitor.branch_stats(corpora.chunks(spark, d), marks.select("repo", "branch").distinct(), marks)
+    marks, rows = table(spark, d, "checkpoints"), corpora.chunks(spark, d)
+    return monitor.branch_stats(rows, marks.select("repo", "branch").distinct(), marks, rows.select("repo", F.col("indexed_at").alias("at")))
 
 
 @query
@@ -347,9 +360,8 @@ def ingest_graph_events(spark, d):
 @query
 def section_packer(spark, d):
     """Long texts packed from paragraphs, as the Markdown reader packs sections."""
-    pack = F.udf(lambda t: markdown.pack(t), "array<string>")
     long_ = corpora.chunks(spark, d).filter(F.length("text") > DEFAULTS.max_section_chars)
-    return long_.select("seq", F.posexplode(pack("text")).alias("part", "text")).select("seq", "part", F.length("text").alias("n_chars"))
+    return markdown.packed(long_).select("seq", "part", F.length("text").alias("n_chars"))
 
 
 # ---------------------------------------------------------------- streams
@@ -366,6 +378,5 @@ def stream_upsert(spark, d):
 
 @query
 def windowed_activity(spark, d):
-    e = table(spark, d, "events")
-    hours = F.date_trunc("hour", "ts").alias("begins")
-    return e.groupBy(hours, "event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.round("value", 4)), 2).alias("total"))
+    """Events per hour and type, by the windowed aggregate that streams use too."""
+    return sync.activity_counts(table(spark, d, "events"), "ts", "event_type")

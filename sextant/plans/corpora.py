@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.operators import graph
+from sextant.operators.index import SearchIndex
+from sextant.session import scratch
+from sextant.sources.store import SnapshotStore
 from sextant.sources.tables import current_rows, table
 
 
@@ -35,3 +38,25 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.fold_edges(table(spark, d, "graph_events"))
+
+
+# ---------------------------------------------------------------- stored indexes
+CORPORA = {"documents": document_chunks, "chunks": chunks}
+_open: dict[tuple, SearchIndex] = {}
+
+
+def build_index(spark: SparkSession, d: str, name: str) -> SearchIndex:
+    """Index a corpus into a store of the session's shared folder."""
+    return SearchIndex.build(CORPORA[name](spark, d), SnapshotStore(spark, scratch(spark, f"index-{name}")), mode="simple")
+
+
+def search_index(spark: SparkSession, d: str, name: str) -> SearchIndex:
+    """The index of a corpus, built at its first use in a session and again when its table was written anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, d, name, status.getModificationTime(), status.getLen())
+    if key not in _open:
+        for old in [k for k in _open if k[0] != key[0] or k[1:3] == key[1:3]]:
+            del _open[old]
+        _open[key] = build_index(spark, d, name)
+    return _open[key]

@@ -87,7 +87,7 @@ _KEYS = f"SELECT id FROM nodes WHERE {_tag('ENDPOINT')} AND id IN (SELECT dst FR
 
 ORACLES: dict[str, str] = {
     "bm25_topk": f"WITH {_bm25(DOCS)} SELECT seq, round(score, 6) AS score FROM b ORDER BY b.score DESC, seq LIMIT 10",
-    "bm25_postings": f"WITH {_bm25(DOCS)} SELECT seq, round(score, 6) AS score FROM b ORDER BY b.score DESC, seq LIMIT 10",
+    "bm25_scan": f"WITH {_bm25(DOCS)} SELECT seq, round(score, 6) AS score FROM b ORDER BY b.score DESC, seq LIMIT 10",
     "bm25_filtered": f"WITH {_bm25(CURRENT, "domain = 'KNOWLEDGE' AND type = 'MD_SECTION'")} SELECT seq, round(score, 6) AS score FROM b ORDER BY b.score DESC, seq LIMIT 10",
     "document_frequencies": f"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}')) AS term FROM documents)
@@ -95,6 +95,10 @@ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term""
     "knn_topk": _knn(_EMBEDDINGS, _VECTOR, "true"),
     "knn_prefilter_label": _knn(_EMBEDDINGS, _VECTOR, "label = 3"),
     "knn_chunks": _knn(CURRENT, _VECTOR, "domain = 'CODE'"),
+    "index_documents": f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}')) AS term FROM documents)
+SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms, count(DISTINCT (doc_id, term)) AS postings, count(*) AS tokens FROM t""",
+    "hash_embedding_scan": f"WITH src AS (SELECT * FROM {DOCS}), {_HASH} SELECT seq, round(score, 6) AS score FROM s ORDER BY s.score DESC, seq LIMIT 10",
     "hash_embedding_knn": f"WITH src AS (SELECT * FROM {DOCS}), {_HASH} SELECT seq, round(score, 6) AS score FROM s ORDER BY s.score DESC, seq LIMIT 10",
     "hybrid_rrf": f"WITH {_bm25(DOCS)}, {_HASH}, {_RRF} SELECT seq, round(score, 6) AS score, round(rrf, 6) AS rrf_score, rank FROM rk WHERE rank <= 10",
     "hybrid_rerank": f"""
@@ -129,9 +133,11 @@ WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.id = f.id AND lower(c.content_hash)
     "count_by_filter": f"SELECT count(*) AS n FROM {CURRENT} WHERE domain = 'CODE' AND branch = 'main'",
     "index_monitor": f"""
 WITH c AS (SELECT repo, branch, count(*) FILTER (domain = 'CODE') AS code, count(*) FILTER (domain = 'KNOWLEDGE') AS knowledge, count(*) AS total FROM {CURRENT} GROUP BY 1, 2),
-k AS (SELECT repo, branch, max(sha) AS sha FROM checkpoints GROUP BY 1, 2)
-SELECT k.repo, k.branch, coalesce(code, 0) AS code_chunks, coalesce(knowledge, 0) AS knowledge_chunks, coalesce(total, 0) AS total_chunks, k.sha AS last_sha
-FROM k LEFT JOIN c ON k.repo = c.repo AND k.branch IS NOT DISTINCT FROM c.branch""",
+k AS (SELECT repo, branch, max(sha) AS sha FROM checkpoints GROUP BY 1, 2),
+y AS (SELECT repo, max(indexed_at) AS at FROM {CURRENT} GROUP BY 1)
+SELECT k.repo, k.branch, coalesce(code, 0) AS code_chunks, coalesce(knowledge, 0) AS knowledge_chunks, coalesce(total, 0) AS total_chunks, k.sha AS last_sha,
+ strftime(y.at, '%Y-%m-%dT%H:%M:%SZ') AS last_sync_at, false AS indexing
+FROM k LEFT JOIN c ON k.repo = c.repo AND k.branch IS NOT DISTINCT FROM c.branch LEFT JOIN y ON y.repo = k.repo""",
     "index_status": f"""
 WITH c AS (SELECT repo, branch, count(*) AS total FROM {CURRENT} GROUP BY 1, 2), k AS (SELECT DISTINCT repo, branch FROM checkpoints)
 SELECT coalesce(sum(total), 0)::BIGINT AS total_chunks, count(*) AS branches, false AS any_indexing FROM k LEFT JOIN c ON k.repo = c.repo AND k.branch IS NOT DISTINCT FROM c.branch""",
@@ -184,5 +190,5 @@ WITH {NODES}, spec AS ({_SPEC}), impl AS ({_KEYS})
 SELECT coalesce(spec.id, impl.id) AS key, CASE WHEN impl.id IS NULL THEN 'unimplemented' WHEN spec.id IS NULL THEN 'undocumented' ELSE 'matched' END AS state
 FROM spec FULL JOIN impl ON spec.id = impl.id""",
     "stream_upsert": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
-    "windowed_activity": "SELECT date_trunc('hour', ts) AS begins, event_type, count(*) AS n, round(sum(round(value, 4)), 2) AS total FROM events GROUP BY 1, 2",
+    "windowed_activity": "SELECT date_trunc('hour', ts) AS begins, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -181,3 +181,15 @@ def accepted_files(spark: SparkSession, folder: str, repo: str | None = None, re
     if config.respect_gitignore:
         kept = kept.filter(~ignore_rules(folder).column(F.col("path")))
     return kept
+
+
+def read_file(spark: SparkSession, folder: str, path: str, repo: str | None = None, registry: FilterRegistry | None = None, config: EngineConfig = DEFAULTS) -> DataFrame | None:
+    """path, modified, content of one file of a repository; None if ignore rules, globs or its kind leave it out."""
+    include, exclude = (registry or FilterRegistry((config.include, config.exclude))).globs(repo)
+    known = spark.createDataFrame([(path,)], "path string")
+    if not known.filter(T.accepted(F.col("path"), include, exclude) & (T.source_class(F.col("path")) != "IGNORE")).take(1):
+        return None
+    if config.respect_gitignore and ignore_rules(folder).ignores(path):
+        return None
+    one = spark.read.format("binaryFile").load(str(Path(folder) / path))
+    return decoded(one.select(F.lit(path).alias("path"), F.col("modificationTime").alias("modified"), "content"))

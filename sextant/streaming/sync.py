@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,46 @@ class BranchSync:
         return out
 
 
+@dataclass(frozen=True)
+class Repo:
+    """A repository that is kept in step: its folder, tracked branches, and seconds between synchronisations (0: by hand only)."""
+
+    folder: str
+    mode: str = "SINGLE"
+    tracked: tuple[str, ...] = ()
+    interval: int = 0
+
+
+class SyncService:
+    """The registered repositories, synchronised by hand or by schedule, and when each last was."""
+
+    def __init__(self, repos: dict[str, Repo], sync: BranchSync):
+        self.repos, self.sync = repos, sync
+        self.last_sync: dict[str, datetime] = {}
+
+    def trigger(self, repo: str) -> list[SyncResult]:
+        """Synchronise one repository now; an unknown one is an error."""
+        if repo not in self.repos:
+            raise ValueError(f"Unknown repo: {repo}")
+        wanted = self.repos[repo]
+        done = self.sync.sync(repo, wanted.folder, wanted.mode, wanted.tracked)
+        self.last_sync[repo] = datetime.now(UTC)
+        return done
+
+    def status(self) -> dict:
+        return {"checkpoints": self.sync.checkpoints.snapshot(), "last_sync": dict(self.last_sync)}
+
+    def last_sync_table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(sorted(self.last_sync.items()), "repo string, at timestamp")
+
+    def tracked_table(self, spark: SparkSession) -> DataFrame:
+        rows = [(name, b) for name, r in sorted(self.repos.items()) for b in (r.tracked or ("main",))]
+        return spark.createDataFrame(rows, "repo string, branch string")
+
+    def start(self, spark: SparkSession) -> list:
+        return scheduled(spark, {name: r.interval for name, r in self.repos.items()}, self.trigger)
+
+
 def scheduled(spark: SparkSession, repos: dict[str, int], sync: Callable[[str], object]) -> list:
     """One rate-driven stream per repository with a positive interval (seconds); failures are logged and do not end it."""
     started = []

@@ -1,14 +1,18 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sextant.api import staged_reranker
 from sextant.functions import text as T
 from sextant.functions import vectors as V
 from sextant.operators import search
+from sextant.operators.index import SearchIndex
 from sextant.operators.search import SearchFilter
+from sextant.sources.store import SnapshotStore
 
 
 def ids(df):
@@ -45,11 +49,51 @@ def test_capital_operators_are_plain_terms(make_chunks):
     assert ids(search.bm25(rows, "AND", 5)) == ["a"]
 
 
-def test_postings_give_the_same_scores(make_chunks):
-    rows = make_chunks(*[{"id": f"d{i}", "text": " ".join(["x"] * (i % 3) + ["y"] * (i % 5) + ["z"])} for i in range(20)])
-    direct = [(r["seq"], round(r["score"], 9)) for r in search.bm25(rows, "x y x", 10).collect()]
-    indexed = [(r["seq"], round(r["score"], 9)) for r in search.bm25_from_postings(search.postings(rows), search.document_lengths(rows), "x y x", 10).collect()]
-    assert direct == indexed
+@pytest.fixture
+def indexed(spark, tmp_path):
+    return lambda rows, **given: SearchIndex.build(rows, SnapshotStore(spark, f"file://{tmp_path}/s"), **{"mode": "simple"} | given)
+
+
+def test_index_gives_the_scores_of_the_texts(make_chunks, indexed):
+    texts = [" ".join(["x"] * (i % 3) + ["y"] * (i % 5) + ["z"]) for i in range(20)] + [None, "", "..."]
+    rows = make_chunks(*[{"id": f"d{i}", "text": t, "repo": "ab"[i % 2]} for i, t in enumerate(texts)])
+    index = indexed(rows, dim=16)
+
+    def scores(df):
+        return [(r["seq"], round(r["score"], 9)) for r in df.select("seq", "score").collect()]
+
+    for where in (SearchFilter(), SearchFilter(repo="a"), SearchFilter(repo="none")):
+        for query in ("x y x", "z", "unknown", "", None):
+            assert scores(index.lexical(query, 30, where)) == scores(search.bm25(rows, query, 30, where))
+            assert scores(index.semantic(query, 30, where)) == scores(search.knn_hashed(rows, query, 30, where, 16))
+        both = [(r["seq"], r["rank"], round(r["rrf_score"], 12), r["text"]) for r in index.hybrid("x y", 10, where, 15).collect()]
+        assert both == [(r["seq"], r["rank"], round(r["rrf_score"], 12), r["text"]) for r in search.hybrid(rows, "x y", 10, where, 15, 16).orderBy("rank").collect()]
+    assert ids(index.bm25("x", 3)) == ids(search.bm25(rows, "x", 3))
+    again = SearchIndex.open(rows, SnapshotStore(index.spark, index.postings.inputFiles()[0].split("/search_postings")[0]))
+    assert again.documents == 23 and scores(again.lexical("y", 5)) == scores(index.lexical("y", 5))
+    plan = index.postings.filter("term = 'x'")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,x)" in plan
+
+
+def test_index_of_an_empty_table_and_of_dotted_names(make_chunks, indexed):
+    empty = indexed(make_chunks({"id": "a"}).limit(0))
+    assert empty.lexical("x").count() == empty.semantic("x").count() == empty.hybrid("x").count() == 0
+    index = indexed(make_chunks({"id": "a", "text": "com.shop.Foo costs 1,234.5"}, {"id": "b", "text": "foo"}), mode="standard")
+    assert ids(index.bm25("com.shop.foo")) == ["a"] and ids(index.bm25("Foo")) == ["b"] and ids(index.bm25("1,234.5")) == ["a"]
+    assert ids(index.hybrid_rerank("foo", 1, reranker=search.lexical_overlap)) == ["b"]
+    with pytest.raises(ValueError):
+        index.hybrid("foo", -1)
+
+
+def test_reranked_texts_and_staged_models(spark, make_chunks, tmp_path):
+    rows = make_chunks({"text": "one two"}, {"text": None}, {"text": "two"}, {"text": "one"})
+    assert [r["seq"] for r in search.rerank_texts(rows, "one two", search.lexical_overlap, 3).collect()] == [1, 3, 4]
+    fit = rows.select("seq", T.fits(F.col("text"), 1).alias("fits")).orderBy("seq").collect()
+    assert [r["fits"] for r in fit] == [False, True, True, True]
+    vector = rows.filter("seq = 1").select(V.embedder(str(tmp_path), 8)(F.col("text")).alias("v")).first()["v"]  # nothing is staged
+    assert vector == pytest.approx(V.embed_text("one two", 8))
+    assert V.pooled(np.array([[3.0, 0.0], [5.0, 8.0], [9.0, 9.0]]), np.array([1, 1, 0])) == pytest.approx([0.70710678, 0.70710678])
+    assert staged_reranker(str(tmp_path)) is None
 
 
 def test_vector_search_leaves_out_unusable_vectors(make_chunks):

@@ -5,10 +5,12 @@ import pytest
 from sextant.api import Engine, Indexer
 from sextant.config import EngineConfig
 from sextant.operators.search import SearchFilter
+from sextant.operators import monitor
 from sextant.sources import repository
+from sextant.sources.repository import FilterRegistry
 from sextant.sources.store import Checkpoints, SnapshotStore
 from sextant.sources.tables import current_rows
-from sextant.streaming.sync import BranchSync
+from sextant.streaming.sync import BranchSync, Repo, SyncService
 
 
 @pytest.fixture
@@ -35,7 +37,8 @@ def test_full_and_incremental_index(spark, repo, tmp_path_factory):
     kept = SnapshotStore(spark, f"file://{out}/s")
     indexer = Indexer(spark, kept, Checkpoints(str(out / "c.json")), EngineConfig(dim=16))
     first = repository.head(str(folder), "main")
-    assert indexer.full(str(folder), "r", "main", first) == 3
+    done = indexer.full(str(folder), "r", "main", first)
+    assert (done.indexed, done.skipped, done.failed, done.sha) == (3, 0, 0, first)
     assert sorted(r["id"] for r in kept.read("chunks").collect()) == ["a.A", "a.A#run()", "src/a/notes.md#one"]
     (folder / "src/a/A.java").unlink()
     (folder / "src/a/notes.md").write_text("# Two\n\nmaven\n")
@@ -43,9 +46,10 @@ def test_full_and_incremental_index(spark, repo, tmp_path_factory):
     git("commit", "-q", "-m", "two")
     second = repository.head(str(folder), "main")
     assert sorted(repository.diff(str(folder), first, second)) == [("DELETE", "src/a/A.java"), ("MODIFY", "src/a/notes.md")]
-    indexer.incremental(str(folder), "r", "main", first, second)
+    done = indexer.incremental(str(folder), "r", "main", first, second)
+    assert (done.indexed, done.deleted, done.failed) == (1, 1, 0) and indexer.metrics.counters["index.indexed"] == 4
     assert [r["id"] for r in kept.read("chunks").collect()] == ["src/a/notes.md#two"]
-    engine = Engine(spark, kept.read("chunks"), kept.read("graph_events"), EngineConfig(dim=16))
+    engine = indexer.engine()
     assert engine.search("maven", "BM25").rows.count() == 1
     assert engine.keyword_search("maven", where=SearchFilter(branch="other")).rows.count() == 0
     assert engine.get_callees("a.A#run()").first()["signature"] == "helper.call"
@@ -54,6 +58,30 @@ def test_full_and_incremental_index(spark, repo, tmp_path_factory):
     assert Engine(spark, spark.range(1)).answer_context("x").startswith("Error: ")
 
 
+def test_single_files_and_refresh(spark, repo, tmp_path_factory):
+    folder, _ = repo
+    out = tmp_path_factory.mktemp("store")
+    registry = FilterRegistry(overrides={"docs": (("**/*.md",), ())})
+    indexer = Indexer(spark, SnapshotStore(spark, f"file://{out}/s"), Checkpoints(str(out / "c.json")), EngineConfig(dim=16), registry)
+    assert indexer.file(str(folder), "r", None, "none.md", "s").indexed == 0
+    assert indexer.file(str(folder), "r", None, "ignored/b/B.java", "s").skipped == 1
+    assert indexer.file(str(folder), "docs", None, "src/a/A.java", "s").skipped == 1
+    assert indexer.file(str(folder), "r", None, "src/a/notes.md", "s").indexed == 1
+    assert [r["id"] for r in indexer.engine().search("kafka", "bm25").rows.collect()] == ["src/a/notes.md#one"]
+    (folder / "src/a/notes.md").write_text("# One\n\nmaven\n")
+    assert indexer.file(str(folder), "r", None, "src/a/notes.md", "t").indexed == 1
+    engine = indexer.engine()
+    assert engine.search("kafka", "bm25").rows.count() == 0 and engine.search("maven").rows.first()["id"] == "src/a/notes.md#one"
+    assert engine.refresh_index(indexer, "r", str(folder)) == {"total": 3, "version": "ok [reindex complete: r]"}
+    assert engine.keyword_search("helper.call").rows.count() == 1
+    assert engine.refresh_index(indexer, "r", str(folder / "nowhere"))["total"] == -1
+    tracked = spark.createDataFrame([("r", None)], "repo string, branch string")
+    with engine.activity.indexing("r"):
+        status = engine.index_status(tracked, Checkpoints(str(out / "c.json")).table(spark))
+    assert (status["total"], status["indexing"]) == (3, True)
+    assert engine.index_status(spark.range(1), spark.range(1))["total"] == -1
+
+
 def test_branches(repo):
     folder, git = repo
     for b in ("feature/auth", "feature/search"):
@@ -80,6 +108,21 @@ def test_branch_sync(repo, tmp_path_factory):
     assert done == [("full", "r", "main"), ("inc", "r", "main")]
 
 
+def test_manual_sync(spark, repo, tmp_path_factory):
+    folder, _ = repo
+    path = str(tmp_path_factory.mktemp("c") / "c.json")
+    service = SyncService({"r": Repo(str(folder), tracked=("main",))}, BranchSync(Checkpoints(path), lambda *a: None, lambda *a: None))
+    with pytest.raises(ValueError, match="Unknown repo: x"):
+        service.trigger("x")
+    assert service.last_sync_table(spark).count() == 0
+    assert [r.mode for r in service.trigger("r")] == ["full"]
+    assert set(service.status()["last_sync"]) == {"r"} and "r:main" in service.status()["checkpoints"]
+    chunks = spark.createDataFrame([("r", "main", "CODE")], "repo string, branch string, domain string")
+    row = monitor.branch_stats(chunks, service.tracked_table(spark), service.sync.checkpoints.table(spark), service.last_sync_table(spark)).first()
+    assert row["last_sync_at"].endswith("Z") and row["indexing"] is False and row["total_chunks"] == 1 and row["last_sha"]
+    assert service.start(spark) == []
+
+
 def test_checkpoints_survive(tmp_path, spark):
     marks = Checkpoints(str(tmp_path / "c.json"))
     marks.put("repo1", "main", "abc123")
