@@ -77,6 +77,10 @@ RUN = re.compile(r"[^\W_]+")
 NAME = re.compile(r"`|\d|_|[a-zß-ÿ][A-Z]|\w-\w|\w[./:@#]\w|^#?[A-Z]{2,}\b|[{}\[\]<>=()/\\]\w")
 
 
+# Five words or more in capitals are text, not abbreviations.
+CAPITALS = re.compile(r"(?:(?<!\w)[A-ZÀ-ÖØ-Þ]+(?!\w)[^\w\n]*){5,}")
+
+
 def without_fences(text: str) -> str:
     return FENCE.sub("\n", text) if "```" in text else text
 
@@ -273,7 +277,7 @@ def _label_units(model: Model, texts: list[str | None]) -> tuple[np.ndarray, ...
     """
     doc, lengths, tokens = [], [], []
     for d, text in enumerate(texts):
-        for line in without_fences(text or "").split("\n"):
+        for line in CAPITALS.sub(lambda m: m[0].lower(), without_fences(text or "")).split("\n"):
             got = line.split()
             if got:
                 doc.append(d)
@@ -324,7 +328,8 @@ def _segments(model: Model, texts: list[str | None]) -> list[tuple[int, int, str
         seen = best[i:j][sure[i:j]]
         if not scored[i:j].any():
             continue
-        if len(seen) and (best[i:j][scored[i:j] > 0] == seen[0]).all():
+        # Units that are not sure by themselves can make a run of another language only together.
+        if len(seen) and (seen == seen[0]).all() and scored[i:j][best[i:j] != seen[0]].sum() < MIN_RUN:
             langs = np.full(j - i, seen[0])
         else:
             langs = _path(p[i:j], scored[i:j])

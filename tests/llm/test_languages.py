@@ -122,3 +122,13 @@ def test_stretches_come_from_the_whole_text():
     text = "\n".join(f"line number {n} of a long enough document" for n in range(400))
     assert any(int(x.split()[2]) > 100 for x in g.stretches(5, text)) and len(g.stretches(5, text)) == g.STRETCHES
     assert g.stretches(5, None) == [] and all(len(x) <= g.STRETCH for x in g.stretches(1, "word " * 9000))
+
+
+def test_unsure_units_make_a_run_together(model):
+    rng = random.Random(8)
+    glossary = "\n".join(f"{a} {b}" for a, b in zip(*[iter(TEXTS["de"].split() * 2)] * 2))
+    text = " ".join(sentence("en", rng) for _ in range(4)) + "\n\n" + glossary
+    found = [(lang, words) for _, _, lang, _, words in g._segments(model, [text])]
+    assert [x for x, _ in found] == ["en", "de"] and found[1][1] >= 30
+    shouted = " ".join(sentence("en", rng) for _ in range(4)) + "\n\n" + " ".join(sentence("en", rng) for _ in range(4)).upper()
+    assert {lang for _, _, lang, _, _ in g._segments(model, [shouted])} == {"en"}
