@@ -110,14 +110,18 @@ def hybrid_rerank(spark, d):
     return found.select("seq", _r("rerank_score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _hits(ranked: DataFrame) -> DataFrame:
+    return search.hits(ranked).withColumns({"score": F.round("score", 6), "rrf_score": F.round("rrf_score", 6)})
+
+
 @query
 def design_for_symbol(spark, d):
-    return search.hits(search.design_for_symbol(corpora.search_index(spark, d, "chunks"), "dev.example.FilterIndex#queue(long)"))
+    return _hits(search.design_for_symbol(corpora.search_index(spark, d, "chunks"), "dev.example.FilterIndex#queue(long)"))
 
 
 @query
 def code_for_document(spark, d):
-    return search.hits(search.code_for_document(corpora.search_index(spark, d, "chunks"), "queue filter segment"))
+    return _hits(search.code_for_document(corpora.search_index(spark, d, "chunks"), "queue filter segment"))
 
 
 @query

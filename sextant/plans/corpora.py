@@ -45,18 +45,21 @@ CORPORA = {"documents": document_chunks, "chunks": chunks}
 _open: dict[tuple, SearchIndex] = {}
 
 
+def _key(spark: SparkSession, d: str, name: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    return spark.sparkContext.applicationId, d, name, status.getModificationTime(), status.getLen()
+
+
 def build_index(spark: SparkSession, d: str, name: str) -> SearchIndex:
     """Index a corpus into a store of the session's shared folder."""
-    return SearchIndex.build(CORPORA[name](spark, d), SnapshotStore(spark, scratch(spark, f"index-{name}")), mode="simple")
+    key = _key(spark, d, name)
+    for old in [k for k in _open if k[0] != key[0] or k[1:3] == key[1:3]]:
+        del _open[old]
+    _open[key] = SearchIndex.build(CORPORA[name](spark, d), SnapshotStore(spark, scratch(spark, f"index-{name}")), mode="simple")
+    return _open[key]
 
 
 def search_index(spark: SparkSession, d: str, name: str) -> SearchIndex:
-    """The index of a corpus, built at its first use in a session and again when its table was written anew."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
-    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
-    key = (spark.sparkContext.applicationId, d, name, status.getModificationTime(), status.getLen())
-    if key not in _open:
-        for old in [k for k in _open if k[0] != key[0] or k[1:3] == key[1:3]]:
-            del _open[old]
-        _open[key] = build_index(spark, d, name)
-    return _open[key]
+    """The index of a corpus as last built, built at its first use in a session and again when its table was written anew."""
+    return _open.get(_key(spark, d, name)) or build_index(spark, d, name)

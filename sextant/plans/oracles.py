@@ -9,9 +9,9 @@ CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, branc
 DOCS = "(SELECT doc_id AS seq, text, source AS repo FROM documents)"
 
 
-def _bm25(rows: str, where: str = "true") -> str:
+def _bm25(rows: str, where: str = "true", terms: tuple[str, ...] = TERMS) -> str:
     """CTEs t (tokens), st (statistics), df, and b (seq, score) of all matching rows."""
-    wanted = ", ".join(f"'{t}'" for t in TERMS)
+    wanted = ", ".join(f"'{t}'" for t in terms)
     return f"""
 src AS (SELECT * FROM {rows}),
 t AS (SELECT seq, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS w FROM src),
@@ -33,6 +33,19 @@ dn AS (SELECT seq, sqrt(sum(n * n)) AS l FROM dv GROUP BY 1),
 s AS (SELECT dn.seq, (1 + coalesce(sum(dv.n * qv.n), 0) / (any_value(l) * (SELECT sqrt(sum(n * n)) FROM qv))) / 2 AS score
       FROM dn LEFT JOIN dv ON dv.seq = dn.seq LEFT JOIN qv ON qv.b = dv.b GROUP BY dn.seq)"""
 
+_HEADING = "coalesce(title, path)"
+
+
+def _hybrid(terms: tuple[str, ...], where: str, k: int) -> str:
+    """Hits of a search over current chunks by both legs, k of them, without reranking."""
+    hashed = _HASH.replace("['queue', 'index', 'filter']", str(list(terms)))
+    near = _RRF.replace("FROM s QUALIFY", f"FROM s JOIN (SELECT seq FROM src WHERE {where}) USING (seq) QUALIFY")
+    return f"""
+WITH {_bm25(CURRENT, where, terms)}, {hashed}, {near}
+SELECT id, repo, path, domain, type, fqn, title, section, {SNIPPET.replace("text", "coalesce(text, '')")} AS snippet, round(rk.score, 6) AS score, round(rrf, 6) AS rrf_score, rank
+FROM rk JOIN src USING (seq) WHERE rank <= {k}"""
+
+
 _RRF = f"""
 bl AS (SELECT seq, score, row_number() OVER (ORDER BY score DESC, seq) AS r FROM b QUALIFY r <= 50),
 kl AS (SELECT seq, score, row_number() OVER (ORDER BY score DESC, seq) AS r FROM s QUALIFY r <= 50),
@@ -85,7 +98,34 @@ _SLUG = "CASE WHEN title IS NULL OR trim(title) = '' THEN 'body' ELSE regexp_rep
 _SPEC = f"SELECT DISTINCT fqn AS id FROM {CURRENT} WHERE type = 'OPENAPI_OP' AND fqn IS NOT NULL"
 _KEYS = f"SELECT id FROM nodes WHERE {_tag('ENDPOINT')} AND id IN (SELECT dst FROM edges WHERE type = 'EXPOSES')"
 
+_FITS = """CASE WHEN ceil(length(block) / 4.0) <= room THEN block WHEN strpos(substring(block, 1, room * 4 + 1), ' ') > 0 AND room * 4 + 1 - strpos(reverse(substring(block, 1, room * 4 + 1)), ' ') > 0
+ THEN substring(block, 1, room * 4 + 1 - strpos(reverse(substring(block, 1, room * 4 + 1)), ' ')) ELSE substring(block, 1, room * 4) END"""
+
+# The hits' blocks in order of rank, each within what the budget of 400 leaves after 20 for every hit to come.
+_ANSWER = f"""
+WITH RECURSIVE {_bm25("(SELECT doc_id AS seq, text, doc_type AS title, 'docs/' || doc_id || '.txt' AS path FROM documents)")}, {_HASH}, {_RRF},
+h AS (SELECT rank, '## ' || {_HEADING} || chr(10) || {SNIPPET.replace("text", "coalesce(text, '')")} AS block FROM rk JOIN src USING (seq) WHERE rank <= 10),
+n AS (SELECT count(*) AS n FROM h),
+w AS (SELECT 1::BIGINT AS i, '' AS text, 0::BIGINT AS used, 0::BIGINT AS kept
+ UNION ALL SELECT i + 1, CASE WHEN keep THEN CASE WHEN kept = 0 THEN fits ELSE text || chr(10) || chr(10) || fits END ELSE text END,
+  CASE WHEN keep THEN used + greatest(1, ceil(length(fits) / 4.0)::BIGINT) ELSE used END, CASE WHEN keep THEN kept + 1 ELSE kept END
+ FROM (SELECT *, used < 400 AND trim(fits) <> '' AS keep FROM (SELECT *, {_FITS} AS fits FROM (SELECT w.*, block, greatest(20, 400 - used - 20 * (n - i))::BIGINT AS room FROM w JOIN h ON h.rank = w.i CROSS JOIN n))))
+SELECT regexp_replace(text, '\\s+$', '') AS context, used AS used_tokens, kept AS n_hits FROM w ORDER BY i DESC LIMIT 1"""
+
+# Paragraphs are joined while 4,000 characters hold them; what is full is handed on in done.
+_PACKER = f"""
+WITH RECURSIVE t AS (SELECT seq, regexp_split_to_array(text, '\\n\\n+') AS p FROM {CURRENT} WHERE length(text) > 4000),
+w AS (SELECT seq, 1 AS i, p[1] AS cur, 0 AS part, NULL::VARCHAR AS done, 0 AS no, len(p) AS n FROM t
+ UNION ALL SELECT w.seq, i + 1, CASE WHEN i = w.n THEN NULL WHEN cur = '' OR full_ THEN nxt ELSE cur || chr(10) || chr(10) || nxt END,
+  part + (full_ AND cur <> '')::INT, CASE WHEN full_ AND cur <> '' THEN cur END, part, n
+ FROM (SELECT w.*, t.p[i + 1] AS nxt, i = w.n OR (cur <> '' AND length(cur) + length(t.p[i + 1]) + 2 > 4000) AS full_ FROM w JOIN t ON t.seq = w.seq WHERE w.i <= w.n) w)
+SELECT seq, no AS part, length(regexp_replace(regexp_replace(done, '^\\s+', ''), '\\s+$', '')) AS n_chars FROM w WHERE done IS NOT NULL"""
+
 ORACLES: dict[str, str] = {
+    "design_for_symbol": _hybrid(("queue",), "domain = 'KNOWLEDGE'", 5),
+    "code_for_document": _hybrid(("queue", "filter", "segment"), "domain = 'CODE'", 5),
+    "answer_context": _ANSWER,
+    "section_packer": _PACKER,
     "bm25_topk": f"WITH {_bm25(DOCS)} SELECT seq, round(score, 6) AS score FROM b ORDER BY b.score DESC, seq LIMIT 10",
     "bm25_scan": f"WITH {_bm25(DOCS)} SELECT seq, round(score, 6) AS score FROM b ORDER BY b.score DESC, seq LIMIT 10",
     "bm25_filtered": f"WITH {_bm25(CURRENT, "domain = 'KNOWLEDGE' AND type = 'MD_SECTION'")} SELECT seq, round(score, 6) AS score FROM b ORDER BY b.score DESC, seq LIMIT 10",
