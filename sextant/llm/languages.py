@@ -79,12 +79,20 @@ NAME = re.compile(r"`|\d|_|[a-zß-ÿ][A-Z]|\w-\w|\w[./:@#]\w|^#?[A-Z]{2,}\b|[{}\
 
 # Five words or more in capitals are text, not abbreviations.
 CAPITALS = re.compile(r"(?:(?<!\w)[A-ZÀ-ÖØ-Þ]+(?!\w)[^\w\n]*){5,}")
+# Without it a text has none of these; much the faster to look for.
+SHOUTING = re.compile(r"[A-ZÀ-ÖØ-Þ]+[^\w\n]+[A-ZÀ-ÖØ-Þ]+[^\w\n]+[A-ZÀ-ÖØ-Þ]")
 
 
 def without_fences(text: str) -> str:
     return FENCE.sub("\n", text) if "```" in text else text
 
 
+def prose(text: str) -> str:
+    """The text outside fenced code, sentences in capitals in lower case."""
+    text = without_fences(text)
+    return CAPITALS.sub(lambda m: m[0].lower(), text) if SHOUTING.search(text) else text
+
+
 def ngrams(token: str) -> list[int]:
     """Buckets of the character n-grams of each of a token's words, none for names and numbers."""
     if NAME.search(token):
@@ -277,7 +285,7 @@ def _label_units(model: Model, texts: list[str | None]) -> tuple[np.ndarray, ...
     """
     doc, lengths, tokens = [], [], []
     for d, text in enumerate(texts):
-        for line in CAPITALS.sub(lambda m: m[0].lower(), without_fences(text or "")).split("\n"):
+        for line in prose(text or "").split("\n"):
             got = line.split()
             if got:
                 doc.append(d)
