@@ -175,5 +175,5 @@ def bean_graph(nodes: DataFrame, edges: DataFrame, name: str, depth: int) -> Dat
     known = nodes.select(F.col("id").alias("dst"), F.lit(1).alias("known"))
     target = F.when(F.col("known").isNotNull(), F.col("dst")).otherwise(F.coalesce("bean", "dst"))
     steps = depends.join(known, "dst", "left").join(resolved_names, F.col("dst") == F.col("name"), "left").select(F.col("src").alias("a"), target.alias("b"), "seq")
-    found = _signature(nodes, bfs(steps, [root["id"]], depth))
+    found = _signature(nodes, bfs(materialize(steps, "steps"), [root["id"]], depth))  # names are resolved once, not on every hop
     return found.select(F.lit(root["id"]).alias("root"), F.col("id").alias("fqn"), "signature", "depth")

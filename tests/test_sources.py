@@ -1,6 +1,7 @@
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from sextant.api import Engine, Indexer
 from sextant.config import EngineConfig
@@ -123,6 +124,32 @@ def test_manual_sync(spark, repo, tmp_path_factory):
     assert service.start(spark) == []
 
 
+def test_upserts_write_only_their_buckets(spark, tmp_path):
+    kept = SnapshotStore(spark, f"file://{tmp_path}/s")
+    schema = "id string, seq long, text string"
+    kept.upsert("t", spark.createDataFrame([(str(i), 1, "old") for i in range(400)] + [(None, 1, "null")], schema))
+    before = kept._buckets("t")["parts"]
+    opened = kept.read("t")
+    kept.upsert("t", spark.createDataFrame([("7", 2, "new"), ("7", 3, "newest"), ("8", 0, "late"), ("x", 1, "added"), (None, 2, "null too")], schema))
+    after = kept._buckets("t")["parts"]
+    assert 1 <= sum(after[b] != v for b, v in before.items()) <= 4
+    rows = {r["id"]: r["text"] for r in kept.read("t").collect()}
+    assert (rows["7"], rows["8"], rows["x"], rows[None], len(rows)) == ("newest", "old", "added", "null too", 402)
+    assert {r["id"]: r["text"] for r in opened.collect()}["7"] == "old"  # a reader keeps its version
+    version = kept.version("t")
+    kept.delete_where("t", F.col("id").isin("7", "none"))
+    assert kept.read("t").count() == 401 and kept.version("t") != version
+    kept.delete_where("t", F.col("id") == "none")
+    kept.upsert("t", spark.createDataFrame([("9", 5, "wide", 1)], schema + ", more int"))
+    assert kept.read("t").filter("more = 1").count() == 1 and kept.read("t").count() == 401
+    assert kept.vacuum("t") >= 0 and kept.read("t").count() == 401
+    kept.commit("t", spark.createDataFrame([("a", 1, "whole")], schema))
+    kept.upsert("t", spark.createDataFrame([("b", 1, "then")], schema))
+    assert sorted(r["id"] for r in kept.read("t").collect()) == ["a", "b"] and kept.vacuum("t") > 0
+    kept.delete_where("t", F.lit(True))
+    assert kept.read("t").count() == 0
+
+
 def test_checkpoints_survive(tmp_path, spark):
     marks = Checkpoints(str(tmp_path / "c.json"))
     marks.put("repo1", "main", "abc123")
