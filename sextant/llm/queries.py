@@ -50,7 +50,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _neighbours(spark, d, None, rerank=16)  # fewer, as no floor drops any on their way; the search is completed anyway
+    return _neighbours(spark, d, None, rerank=8)  # fewer, as no floor drops any on their way; they only bound the completing search
 
 
 # -- 3
