@@ -124,6 +124,24 @@ def code_for_document(spark, d):
     return _hits(search.code_for_document(corpora.search_index(spark, d, "chunks"), "queue filter segment"))
 
 
+@query
+def keyword_hits(spark, d):
+    """Hits with all their stored fields and a snippet."""
+    return search.hits(corpora.search_index(spark, d, "documents").bm25(QUERY, 10)).withColumn("score", F.round("score", 6))
+
+
+@query
+def rerank_documents(spark, d):
+    return search.rerank_texts(corpora.document_chunks(spark, d), QUERY, search.lexical_overlap, 10).select("seq", _r("rerank_score"))
+
+
+@query
+def discover_symbols(spark, d):
+    """Code hits of a search without their texts."""
+    found = corpora.search_index(spark, d, "chunks").hybrid("queue filter segment", 10, SearchFilter(domain="CODE"))
+    return _hits(found).drop("snippet")
+
+
 @query
 def answer_context(spark, d):
     found = search.hits(corpora.search_index(spark, d, "documents").hybrid(QUERY, 10))
@@ -152,6 +170,11 @@ def truncate_to_fit(spark, d):
     return corpora.chunks(spark, d).select("seq", T.truncate_to_fit(F.col("text"), 25).alias("text"))
 
 
+@query
+def fits_budget(spark, d):
+    return corpora.chunks(spark, d).select("seq", T.fits(F.col("text"), 25).alias("fits"))
+
+
 @query
 def slugify_titles(spark, d):
     return corpora.chunks(spark, d).select("seq", T.slug(F.col("title")).alias("slug"))
@@ -256,6 +279,28 @@ def symbol_filter(spark, d):
     return corpora.chunks(spark, d).filter(SearchFilter(symbol="@Service").condition()).select("seq")
 
 
+def _symbol(rows: DataFrame) -> str:
+    return rows.filter("type = 'METHOD' and fqn is not null and length(text) > 200").agg(F.min("fqn")).first()[0] or ""
+
+
+@query
+def text_by_fqn(spark, d):
+    rows = corpora.chunks(spark, d)
+    return search.text_by_fqn(rows, _symbol(rows))
+
+
+@query
+def symbol_body(spark, d):
+    rows = corpora.chunks(spark, d)
+    return search.symbol_body(rows, _symbol(rows), 200)
+
+
+@query
+def hash_by_id(spark, d):
+    rows = corpora.chunks(spark, d)
+    return search.hash_by_id(rows, rows.agg(F.min("id")).first()[0] or "")
+
+
 @query
 def title_or_fqn(spark, d):
     return corpora.chunks(spark, d).select("seq", F.coalesce("title", "fqn").alias("title"))
@@ -277,6 +322,11 @@ def nodes_by_tag(spark, d):
     return graph.by_tag(corpora.nodes(spark, d), "BEAN").select("id")
 
 
+@query
+def edge_scan(spark, d):
+    return graph.edges_of(corpora.edges(spark, d), "log.info", False, "CALLS")
+
+
 @query
 def edge_degrees(spark, d):
     e = corpora.edges(spark, d)

@@ -121,7 +121,25 @@ w AS (SELECT seq, 1 AS i, p[1] AS cur, 0 AS part, NULL::VARCHAR AS done, 0 AS no
  FROM (SELECT w.*, t.p[i + 1] AS nxt, i = w.n OR (cur <> '' AND length(cur) + length(t.p[i + 1]) + 2 > 4000) AS full_ FROM w JOIN t ON t.seq = w.seq WHERE w.i <= w.n) w)
 SELECT seq, no AS part, length(regexp_replace(regexp_replace(done, '^\\s+', ''), '\\s+$', '')) AS n_chars FROM w WHERE done IS NOT NULL"""
 
+_SYMBOL = f"(SELECT text FROM {CURRENT} WHERE fqn = (SELECT min(fqn) FROM {CURRENT} WHERE type = 'METHOD' AND length(text) > 200) ORDER BY seq LIMIT 1)"
+
 ORACLES: dict[str, str] = {
+    "keyword_hits": f"""
+WITH {_bm25(DOCS)}
+SELECT 'doc-' || doc_id AS id, source AS repo, 'docs/' || doc_id || '.txt' AS path, 'KNOWLEDGE' AS domain, 'DOCUMENT' AS type, NULL::VARCHAR AS fqn, doc_type AS title, NULL::VARCHAR AS section,
+ {SNIPPET.replace("text", "coalesce(documents.text, '')")} AS snippet, round(score, 6) AS score
+FROM b JOIN documents ON doc_id = b.seq ORDER BY b.score DESC, b.seq LIMIT 10""",
+    "rerank_documents": f"""
+SELECT doc_id AS seq, round(len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}')), ['queue', 'index', 'filter'])) / 3.0::DOUBLE, 6) AS rerank_score
+FROM documents ORDER BY 2 DESC, 1 LIMIT 10""",
+    "discover_symbols": f"SELECT * EXCLUDE (snippet) FROM ({_hybrid(('queue', 'filter', 'segment'), "domain = 'CODE'", 10)})",
+    "fits_budget": f"SELECT seq, length(coalesce(text, '')) <= 100 AS fits FROM {CURRENT}",
+    "text_by_fqn": f"SELECT text FROM {_SYMBOL} WHERE text IS NOT NULL",
+    "symbol_body": f"""
+SELECT CASE WHEN length(text) <= 200 THEN text WHEN strpos(left(text, 200), chr(10)) > 0 THEN left(text, 200 - strpos(reverse(left(text, 200)), chr(10))) || chr(10) || '// ... (truncated)'
+ ELSE left(text, 200) || chr(10) || '// ... (truncated)' END AS body FROM {_SYMBOL}""",
+    "hash_by_id": f"SELECT content_hash FROM {CURRENT} WHERE id = (SELECT min(id) FROM {CURRENT}) ORDER BY seq LIMIT 1",
+    "edge_scan": "SELECT src, dst, edge_type AS type, seq FROM graph_events WHERE kind = 'E' AND src IS NOT NULL AND dst = 'log.info' AND edge_type = 'CALLS'",
     "design_for_symbol": _hybrid(("queue",), "domain = 'KNOWLEDGE'", 5),
     "code_for_document": _hybrid(("queue", "filter", "segment"), "domain = 'CODE'", 5),
     "answer_context": _ANSWER,
