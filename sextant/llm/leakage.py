@@ -132,20 +132,21 @@ class Windows:
         hashes, slots = np.asarray(self.table.hashes, np.uint64)[codes], np.asarray(self.table.slots, np.uint64)[codes]
         order = np.argsort(codes, kind="stable")
         same = codes[order[1:]] == codes[order[:-1]]
-        back = np.full(len(codes), 1 << 40, np.int64)
-        back[order[1:][same]] = order[1:][same] - order[:-1][same]
-        ends = np.zeros(len(flat) + 1, np.int64)
-        ends[1:] = np.cumsum(codes == self.table[SEPARATOR]) if len(flat) else 0
-        return Batch(np.asarray(starts, np.int64), hashes, slots, back, ends)
+        back = np.full(len(codes), 1 << 40, np.uint64)
+        back[order[1:][same]] = (order[1:][same] - order[:-1][same]).astype(np.uint64)
+        before = lambda which: np.concatenate([[0], np.cumsum(which)])
+        return Batch(np.asarray(starts, np.int64), hashes, slots > 0, slots * B, back, before(codes == self.table[SEPARATOR]), before(slots > 0))
 
 
 @dataclass
 class Batch:
     starts: np.ndarray
     hashes: np.ndarray
-    slots: np.ndarray
-    back: np.ndarray
-    ends: np.ndarray
+    filled: np.ndarray  # whether a slot stands there
+    placeholders: np.ndarray
+    back: np.ndarray  # how far back the same word stands
+    ends: np.ndarray  # separators before each position
+    slots_before: np.ndarray
 
     def cut(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text number, key and hash of the words of every window of that length inside a text.
@@ -153,16 +154,19 @@ class Batch:
         The key is the hash of the canonical form, or of the words where too few are not slots.
         """
         n = len(self.hashes) - length + 1
-        at = np.flatnonzero(self.ends[length:] == self.ends[: max(n, 0)]) if n > 0 else np.empty(0, np.int64)
-        exact, canonical = np.full(len(at), length, np.uint64), np.full(len(at), length, np.uint64)
-        slots = np.zeros(len(at), np.int64)
-        for j in range(length):
-            h, kind, back = self.hashes[at + j], self.slots[at + j], self.back[at + j]
-            exact = exact * A + h
-            canonical = canonical * A + np.where(kind > 0, kind * B + np.where(back <= j, back, 0).astype(np.uint64), h)
-            slots += kind > 0
-        exact = _mixed(exact)
-        key = np.where(length - slots >= ANCHORS, _mixed(canonical ^ B), exact)
+        at = np.flatnonzero(self.ends[length:] == self.ends[:n]) if n > 0 else np.empty(0, np.int64)
+        if not len(at):
+            return at, np.empty(0, np.uint64), np.empty(0, np.uint64)
+        exact, canonical = np.full(n, length, np.uint64), np.full(n, length, np.uint64)
+        for j in range(length):  # over all positions: consecutive ones cost less than chosen ones
+            h, back = self.hashes[j : j + n], self.back[j : j + n]
+            exact *= A
+            exact += h
+            canonical *= A
+            canonical += np.where(self.filled[j : j + n], self.placeholders[j : j + n] + np.where(back <= j, back, 0), h)
+        slots = self.slots_before[length:] - self.slots_before[:n]
+        exact = _mixed(exact[at])
+        key = np.where(length - slots[at] >= ANCHORS, _mixed(canonical[at] ^ B), exact)
         return np.searchsorted(self.starts, at, "right") - 1, key, exact
 
 
