@@ -8,6 +8,7 @@ plans over texts in sextant.operators.search.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from sextant.operators import search
 from sextant.operators.search import ANY, SearchFilter
 from sextant.sources.store import SnapshotStore
 
+#: Files, at most, that the entries of one term or bucket are spread over.
+SHARES = 64
 TABLES = ("postings", "terms", "buckets", "statistics")
 
 
@@ -40,18 +43,29 @@ class SearchIndex:
     def build(cls, chunks: DataFrame, store: SnapshotStore, name: str = "search", dim: int = DEFAULTS.dim, mode: str = DEFAULTS.analyzer) -> SearchIndex:
         """Index chunks (seq unique, text) into tables of the store, and open them.
 
-        Texts are cut into terms once. A term of very many texts is spread over files by seq.
+        Texts are cut into terms once. The entries of a term or bucket lie together in at most SHARES files,
+        so that one of very many texts is no single task's work.
         Null and empty texts count as documents without terms.
         """
-        cut = chunks.filter("seq is not null").select("seq", T.tokens(F.col("text"), mode).alias("toks")).withColumn("dl", F.size("toks"))
-        postings = cut.select("seq", "dl", F.explode("toks").alias("term")).groupBy("term", "seq", "dl").agg(F.count("*").cast("int").alias("tf"))
-        store.commit(f"{name}_postings", postings.select("term", "seq", "tf", "dl"), sort_by=("term", "seq"))
-        stored = store.read(f"{name}_postings")
-        store.commit(f"{name}_terms", stored.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), sort_by=("term",))
-        lengths = stored.groupBy("seq").agg(F.max("dl").alias("dl")).agg(F.sum("dl").alias("total"))
-        size = chunks.filter("seq is not null").agg(F.count("*").alias("documents"))
-        store.commit(f"{name}_statistics", size.join(F.broadcast(lengths)).select("documents", F.coalesce(F.col("total"), F.lit(0)).alias("total"), F.lit(dim).alias("dim"), F.lit(mode).alias("mode")))  # one row each
-        store.commit(f"{name}_buckets", V.hashed_buckets(chunks, dim), sort_by=("bucket", "seq"))
+        rows = chunks.filter("seq is not null")
+        share = F.pmod(F.xxhash64("seq"), F.lit(SHARES))
+        cut = rows.select("seq", T.tokens(F.col("text"), mode).alias("toks")).select("seq", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+        postings = cut.groupBy("term", "seq", "dl").agg(F.count("*").cast("int").alias("tf"))
+
+        def lexical() -> None:
+            store.commit(f"{name}_postings", postings.select("term", "seq", "tf", "dl"), sort_by=("term", "seq"), spread=("term", share))
+            terms = store.read(f"{name}_postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+            store.commit(f"{name}_terms", terms, sort_by=("term",), spread=("term",))
+            total = store.read(f"{name}_terms").agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total"))
+            facts = rows.agg(F.count("*").alias("documents")).join(F.broadcast(total))  # one row each
+            store.commit(f"{name}_statistics", facts.select("documents", "total", F.lit(dim).alias("dim"), F.lit(mode).alias("mode")))
+
+        def semantic() -> None:
+            store.commit(f"{name}_buckets", V.hashed_buckets(rows, dim), sort_by=("bucket", "seq"), spread=("bucket", share))
+
+        with ThreadPoolExecutor(2) as both:  # neither waits for the other's last tasks
+            for done in [both.submit(leg) for leg in (semantic, lexical)]:
+                done.result()
         return cls.open(chunks, store, name)
 
     @classmethod

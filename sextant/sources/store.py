@@ -96,10 +96,12 @@ class SnapshotStore:
     def _fresh() -> str:
         return f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
 
-    def commit(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> str:
-        """Replace the whole table."""
+    def commit(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (), spread: tuple[str | Column, ...] = ()) -> str:
+        """Replace the whole table; with spread rows of one value of it come to one file, else sorted tables are cut into ranges."""
         version = self._fresh()
-        if sort_by:  # narrow min and max per file: scans for a few keys skip the others
+        if spread:  # without the sample of the rows that ranges need
+            df = df.repartition(*spread).sortWithinPartitions(*sort_by)
+        elif sort_by:  # narrow min and max per file: scans for a few keys skip the others
             df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{table}/{version}")
         self._point(table, version)
