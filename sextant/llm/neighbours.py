@@ -5,8 +5,8 @@ Vectors that point the same way (up to a fine grid) form one class; classes are
 their members expanded, so any number of copies costs no more than one vector. A cell's
 queries and its neighbour cells' codes meet in blocks of bounded size; asymmetric
 distance tables rank the codes and the best candidates are reranked with exact cosines.
-Every cell that the bounds of cell walls and radii leave open is then searched too, so
-no neighbour is lost to the number of probes or candidates.
+What the bounds leave open is then searched too, by cells, or with a floor by groups of
+vectors close together, so no neighbour is lost to the number of probes or candidates.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.session import materialize
+from sextant.session import discard, materialize
 
 #: Vectors the centroids and codebooks are fitted on, at most about so many.
 SAMPLE = 65_536
@@ -36,10 +36,13 @@ SUBSPACES, CODEWORDS = 16, 256
 RERANK = 32
 #: Most queries, and most codes of one cell, in a block.
 BLOCK = 2048
-#: Queries of one cell that the completing search takes at a time.
+#: Queries of one cell, or groups of them, that the completing search takes at a time.
 QUERIES = 256
-#: Vectors, about, that one pass of the completing search broadcasts (16 MB at 64 entries).
-PASS = 65_536
+#: Vectors, about, that one pass of the completing search broadcasts: a quarter of all, but between these bounds
+#: (16 and 64 MB at 64 entries). Every executor keeps a copy on its disk; every pass reads all queries again.
+PASS, MOST_PASS = 65_536, 262_144
+#: Cosine to a first member from which vectors form a group, and most members of one.
+GROUP, MEMBERS = 0.9, 32
 GRID = 1e-4
 
 
@@ -135,6 +138,14 @@ def _matrix(units_: Iterable[bytes], dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(units_), np.float32).reshape(-1, dim)
 
 
+def _vectors(units_: pa.BinaryArray, dim: int) -> np.ndarray:
+    """The rows of an Arrow column of binaries, without a copy."""
+    if not len(units_):
+        return np.empty((0, dim), np.float32)
+    ends = np.frombuffer(units_.buffers()[1], np.int32)[units_.offset : units_.offset + len(units_) + 1]
+    return np.frombuffer(units_.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(-1, dim)
+
+
 def cells_of(n: int) -> int:
     """Cells for n vectors: they grow with the square root."""
     return int(min(MAX_CELLS, max(1, CELLS_PER_ROOT * math.sqrt(n))))
@@ -165,7 +176,7 @@ def _codes_of(codec, dim: int) -> object:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units_ = batch.column(1)
-            cell, codes, miss = codec.value.encode(_matrix(units_.to_pylist(), dim))
+            cell, codes, miss = codec.value.encode(_vectors(units_, dim))
             yield pa.RecordBatch.from_arrays([batch.column(0), units_, pa.array(cell, pa.int32()), _binaries(codes), pa.array(miss, pa.float32())], ["rep", "unit", "cell", "code", "miss"])
 
     return encode
@@ -217,32 +228,51 @@ def _ranked(codec, rerank: int, floor: float | None, dim: int) -> object:
     return search
 
 
+def _groups(x: np.ndarray) -> np.ndarray:
+    """A group number for each vector: at most MEMBERS of a cosine of GROUP or more to one of them."""
+    near = x @ x.T >= GROUP
+    np.fill_diagonal(near, True)
+    group, last = np.full(len(x), -1), 0
+    for i in np.argsort(-near.sum(axis=1), kind="stable").tolist():
+        if group[i] < 0:
+            free = np.flatnonzero(near[i] & (group < 0))
+            group[free[:MEMBERS]] = last
+            group[i] = last
+            last += 1
+    return group
+
+
 def _exact(k: int, floor: float | None, dim: int) -> object:
-    """Per (home cell, query block): exact cosines of the queries and their candidates, the best k of each."""
+    """Per (home cell, query block): the queries by groups, each with its k-th cosine by exact cosines of the candidates."""
 
     def rerank(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         is_query = pdf["askers"].isna().to_numpy()
         queries, others = pdf[is_query], pdf[~is_query]
-        if queries.empty or others.empty:
-            return pd.DataFrame(columns=["rep", "other", "similarity"])
-        q = np.frombuffer(b"".join(queries["unit"]), np.float32).reshape(-1, dim).astype(np.float64)
-        v = np.frombuffer(b"".join(others["unit"]), np.float32).reshape(-1, dim).astype(np.float64)
-        where = pd.Series(np.arange(len(q)), index=queries["rep"].to_numpy())
-        counts = others["askers"].map(len).to_numpy()
-        right = np.repeat(np.arange(len(v)), counts)
-        left = where.loc[np.concatenate(others["askers"].to_numpy())].to_numpy()
-        cosine = np.einsum("ij,ij->i", q[left], v[right])
-        found = pd.DataFrame({"rep": queries["rep"].to_numpy()[left], "other": others["rep"].to_numpy()[right], "similarity": cosine})
-        if floor is not None:
-            found = found[found["similarity"] >= floor]
-        found = found.sort_values(["rep", "similarity", "other"], ascending=[True, False, True])
-        return found.groupby("rep", sort=False).head(k)
+        unit_ = _matrix(queries["unit"], dim)
+        least = np.full(len(queries), -2.0 if floor is None else floor)
+        if len(others):
+            q, v = unit_.astype(np.float64), _matrix(others["unit"], dim).astype(np.float64)
+            where = pd.Series(np.arange(len(q)), index=queries["rep"].to_numpy())
+            counts = others["askers"].map(len).to_numpy()
+            right = np.repeat(np.arange(len(v)), counts)
+            left = where.loc[np.concatenate(others["askers"].to_numpy())].to_numpy()
+            cosine = np.einsum("ij,ij->i", q[left], v[right])
+            order = np.lexsort((-cosine, left))
+            left, cosine = left[order], cosine[order]
+            last = np.arange(len(left)) - np.searchsorted(left, left) == k - 1
+            least[left[last]] = np.maximum(least[left[last]], cosine[last])
+        group = np.zeros(len(queries), int) if floor is None else _groups(unit_)
+        found = pd.DataFrame({"rep": queries["rep"].to_numpy(), "unit": queries["unit"].to_numpy(), "cell": np.int32(key[0]), "block": np.int32(key[1]), "part": group.astype(np.int32), "least": least})
+        return found.sort_values("part", kind="stable")
 
     return rerank
 
 
 def similar_classes(units_: DataFrame, codec: Codec, k: int, floor: float | None, dim: int, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
-    """rep, other, similarity: the best k others of every (rep, unit, cell, code, miss) row."""
+    """rep, unit, cell, block, part, least: every (rep, unit, cell, code, miss) row with the k-th cosine found, else the floor.
+
+    Rows of one cell and block come together, by the groups (part) in which the completing search takes them.
+    """
     spark = units_.sparkSession
     shared = spark.sparkContext.broadcast(codec)
     cells = len(codec.centroids)
@@ -279,18 +309,35 @@ def similar_classes(units_: DataFrame, codec: Codec, k: int, floor: float | None
     vectors = units_.select(F.col("rep").alias("other"), "unit")
     candidates = wanted.join(vectors, "other").select("cell", "block", F.col("other").alias("rep"), "unit", "askers")
     asked = placed.select("cell", "block", "rep", "unit", empty.cast("array<bigint>").alias("askers"))
-    return candidates.unionByName(asked).groupBy("cell", "block").applyInPandas(_exact(k, floor, dim), "rep long, other long, similarity double")
+    return candidates.unionByName(asked).groupBy("cell", "block").applyInPandas(_exact(k, floor, dim), "rep long, unit binary, cell int, block int, part int, least double")
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where the rows change to another key."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+
+
+def _caps(unit_: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Direction of the middle of each run of rows and the largest angle of a row to it."""
+    middle = np.add.reduceat(unit_, starts, axis=0, dtype=np.float64)
+    middle /= np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-30)
+    sizes = np.diff(starts, append=len(unit_))
+    cosine = np.einsum("ij,ij->i", unit_, np.repeat(middle, sizes, axis=0)) / np.linalg.norm(unit_.astype(np.float64), axis=1)
+    return middle.astype(np.float32), np.arccos(np.clip(np.minimum.reduceat(cosine, starts), -1, 1))
 
 
 @dataclass
 class Source:
-    """Vectors of one pass, ordered by cell."""
+    """Vectors of one pass, ordered by cell, or with a floor by groups and these by radius."""
 
     rep: np.ndarray
     unit: np.ndarray
     cells: np.ndarray
-    sizes: np.ndarray  # of each cell
-    radius: np.ndarray  # of each cell, by the vectors of this pass
+    sizes: np.ndarray  # of each cell or group
+    radius: np.ndarray  # of each cell by the vectors of this pass, as a distance; of each group as an angle
+    middle: np.ndarray | None = None  # of each group
 
     @classmethod
     def of(cls, rep: np.ndarray, unit_: np.ndarray, cell: np.ndarray, centroids: np.ndarray) -> Source:
@@ -300,6 +347,16 @@ class Source:
         far = np.linalg.norm(unit_ - centroids[cell], axis=1)
         return cls(rep, unit_, cells, sizes, np.maximum.reduceat(far, starts))
 
+    @classmethod
+    def grouped(cls, rep: np.ndarray, unit_: np.ndarray, *keys: np.ndarray) -> Source:
+        order = np.lexsort(keys)
+        starts = _starts(*(k[order] for k in keys))
+        middle, radius = _caps(unit_[order], starts)
+        sizes = np.diff(starts, append=len(rep))
+        by = np.argsort(radius, kind="stable")
+        row = order[np.repeat(starts[by] - np.cumsum(sizes[by]) + sizes[by], sizes[by]) + np.arange(len(rep))]
+        return cls(rep[row], unit_[row], keys[-1][row], sizes[by], radius[by], middle[by])
+
 
 def _open_cells(q: np.ndarray, home: int, least: np.ndarray, centroids: np.ndarray, source: Source) -> np.ndarray:
     """Which cells of the source may hold, for some query of one home cell, a vector of its cosine least or more.
@@ -317,21 +374,51 @@ def _open_cells(q: np.ndarray, home: int, least: np.ndarray, centroids: np.ndarr
     return (np.maximum(wall, np.sqrt(to) - source.radius) <= reach[:, None]).any(axis=0)
 
 
+def _open_groups(middle: np.ndarray, reach: np.ndarray, source: Source, space: np.ndarray) -> np.ndarray:
+    """Which groups of the source may hold a vector within reach, an angle, of the middle of some group of queries.
+
+    Angles obey the triangle inequality, so middles further apart than the reach and the group's radius rule it out.
+    """
+    open_ = np.empty(len(source.middle), bool)
+    for b in range(0, len(open_), BLOCK):
+        there = source.middle[b : b + BLOCK]
+        near = np.matmul(middle, there.T, out=space[: len(middle), : len(there)] if len(there) == BLOCK else None)
+        far = np.minimum(reach + source.radius[min(b + BLOCK, len(open_)) - 1] + 1e-3, np.pi)  # 1e-3, 1e-5: more than single precision misses
+        (near >= (np.cos(far) - 1e-5).astype(np.float32)[:, None]).any(axis=0, out=open_[b : b + BLOCK])
+    return open_
+
+
 def _completed(codec, source, k: int, floor: float | None, dim: int) -> object:
-    """The best k of the source for each query that reach its bound, by exact cosines in every open cell.
+    """The best k of the source for each query that reach its bound, by exact cosines with all that is open.
 
-    The queries come ordered by cell, so those of one cell are searched together.
+    The queries come ordered by cell and group, so those of one cell, or some groups, are searched together.
     """
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centroids, s = codec.value.centroids, source.value
-        space = np.empty((QUERIES, BLOCK), np.float32)
-        for pdf in batches:
-            unit_, reps, bounds, homes = _matrix(pdf["unit"], dim), pdf["rep"].to_numpy(), pdf["least"].to_numpy(), pdf["cell"].to_numpy()
-            edges = np.flatnonzero(np.diff(homes, prepend=-1, append=-1)).tolist() if len(pdf) else []
+    def blocks(unit_: np.ndarray, least: np.ndarray, cell: np.ndarray, block: np.ndarray, part: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        s = source.value
+        if s.middle is None:
+            edges = [*_starts(cell).tolist(), len(cell)]
             for begin, end in ((a, min(a + QUERIES, z)) for y, z in zip(edges, edges[1:]) for a in range(y, z, QUERIES)):
+                yield begin, end, np.repeat(_open_cells(unit_[begin:end], cell[begin], least[begin:end], codec.value.centroids, s), s.sizes)
+            return
+        starts = _starts(cell, block, part)
+        middle, radius = _caps(unit_, starts) if len(starts) else (None, None)
+        reach = radius + np.arccos(np.clip(np.minimum.reduceat(least, starts) - 1e-6, -1, 1)) if len(starts) else None
+        edges = [*starts.tolist(), len(cell)]
+        for a in range(0, len(starts), QUERIES):
+            z = min(a + QUERIES, len(starts))
+            open_ = np.repeat(_open_groups(middle[a:z], reach[a:z], s, space), s.sizes)
+            for begin in range(edges[a], edges[z], QUERIES):
+                yield begin, min(begin + QUERIES, edges[z]), open_
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = source.value
+        space = np.empty((QUERIES, BLOCK), np.float32)
+        for batch in batches:
+            unit_ = _vectors(batch.column(1), dim)
+            reps, cell, block, part, bounds = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
+            for begin, end, open_ in blocks(unit_, bounds, cell, block, part, space):
                 q, rep, least = unit_[begin:end], reps[begin:end], bounds[begin:end]
-                open_ = np.repeat(_open_cells(q, homes[begin], least, centroids, s), s.sizes)
                 columns = None if open_.mean() > 0.7 else np.flatnonzero(open_)  # a copy of most vectors costs more than the others' products
                 vectors, names = (s.unit, s.rep) if columns is None else (s.unit[columns], s.rep[columns])
                 r, name, cosine = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -353,42 +440,43 @@ def _completed(codec, source, k: int, floor: float | None, dim: int) -> object:
                     last = rank == k - 1
                     lowest[r[last]] = np.maximum(lowest[r[last]], cosine[last] - 1e-6)
                     r, name, cosine = r[rank < k], name[rank < k], cosine[rank < k]
-                yield pd.DataFrame({"rep": rep[r], "other": name, "similarity": cosine})
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[r], pa.int64()), pa.array(name, pa.int64()), pa.array(cosine, pa.float64())], ["rep", "other", "similarity"])
 
     return search
 
 
-def complete(units_: DataFrame, pairs: DataFrame, codec: Codec, k: int, floor: float | None, dim: int) -> DataFrame:
-    """rep, other, similarity: the exact best k others of every unit, given what a first search found.
+def complete(found: DataFrame, codec: Codec, k: int, floor: float | None, dim: int) -> DataFrame:
+    """rep, other, similarity: the exact best k others of every unit, given the bounds of a first search.
 
     The k-th cosine found so far (or the floor) bounds what can still be better; a query is
-    compared with all vectors of every cell that may hold such a one. Nothing of a bounded
-    number is left out, and the work grows with the open cells, at worst with the square of the units.
+    compared with all vectors of every cell or group that may hold such a one. Nothing of a bounded
+    number is left out, and the work grows with what is open, at worst with the square of the units.
     """
-    spark = units_.sparkSession
+    spark = found.sparkSession
     shared = spark.sparkContext.broadcast(codec)
-    bounds = pairs.groupBy("rep").agg(F.count("*").alias("n"), F.min("similarity").alias("kth")).filter(F.col("n") >= k).select("rep", "kth")
-    lowest = F.lit(-2.0 if floor is None else float(floor))
-    asking = units_.join(bounds, "rep", "left").select("rep", "unit", "cell", F.coalesce("kth", lowest).alias("least"))
-    asking = materialize(asking.repartitionByRange("cell", "rep").sortWithinPartitions("cell", "rep"), "bounds")
-    sizes = sorted((r["cell"], r["n"]) for r in units_.groupBy("cell").agg(F.count("*").alias("n")).collect())  # at most MAX_CELLS
+    asking = materialize(found, "bounds")
+    sizes = sorted((r["cell"], r["n"]) for r in asking.groupBy("cell").agg(F.count("*").alias("n")).collect())  # at most MAX_CELLS
     start = np.cumsum([0] + [n for _, n in sizes])
-    passes = max(1, -(-int(start[-1]) // PASS))
+    passes = max(1, -(-int(start[-1]) // min(max(PASS, int(start[-1]) // 4), max(PASS, MOST_PASS))))
     plan = spark.createDataFrame(pa.table({"cell": pa.array([c for c, _ in sizes], pa.int32()), "n": pa.array([n for _, n in sizes], pa.int64()), "start": pa.array(start[:-1], pa.int64())}))
-    turn = ((F.col("start") + F.pmod(F.xxhash64("rep"), F.col("n"))) * passes / F.lit(int(start[-1]))).cast("int")
-    placed = units_.join(F.broadcast(plan), "cell").withColumn("turn", turn)
-    found = []
+    spread = F.xxhash64("rep") if floor is None else F.xxhash64("block", "part")  # a group stays together
+    turn = ((F.col("start") + F.pmod(spread, F.col("n"))) * passes / F.lit(int(start[-1]))).cast("int")
+    placed = asking.join(F.broadcast(plan), "cell").withColumn("turn", turn)
+    done = []
     for i in range(passes):
-        got = placed.filter(F.col("turn") == i).select("rep", "unit", "cell").toArrow()
+        got = placed.filter(F.col("turn") == i).select("rep", "unit", "cell", "block", "part").toArrow()
         if not got.num_rows:
             continue
-        vectors = _matrix(got["unit"].to_pylist(), dim)
-        source = spark.sparkContext.broadcast(Source.of(got["rep"].to_numpy(), vectors, got["cell"].to_numpy(), codec.centroids))
-        found.append(materialize(asking.mapInPandas(_completed(shared, source, k, floor, dim), "rep long, other long, similarity double"), "completed"))
+        vectors = np.concatenate([_vectors(c, dim) for c in got["unit"].chunks])
+        rep, cell, block, part = (got[c].to_numpy() for c in ("rep", "cell", "block", "part"))
+        del got
+        source = spark.sparkContext.broadcast(Source.of(rep, vectors, cell, codec.centroids) if floor is None else Source.grouped(rep, vectors, part, block, cell))
+        done.append(materialize(asking.mapInArrow(_completed(shared, source, k, floor, dim), "rep long, other long, similarity double"), "completed"))
         source.destroy()
-    if len(found) == 1:
-        return found[0]
-    both = functools.reduce(DataFrame.unionByName, found)
+    if len(done) == 1:
+        return done[0]
+    both = functools.reduce(DataFrame.unionByName, done)
     return both.withColumn("r", F.row_number().over(_by("rep"))).filter(F.col("r") <= k).drop("r")
 
 
@@ -422,8 +510,8 @@ def most_similar(rows: DataFrame, k: int = 5, dim: int = 64, floor: float | None
     codec = fit(keyed, dim, n, sample)
     shared = spark.sparkContext.broadcast(codec)
     units_ = materialize(alone.mapInArrow(_codes_of(shared, dim), "rep long, unit binary, cell int, code binary, miss float"), "codes")
-    pairs = similar_classes(units_, codec, k, floor, dim, probes, rerank)
-    pairs = complete(units_, pairs, codec, k, floor, dim)
+    discard(keyed)  # all that follows reads the codes and the copies
+    pairs = complete(similar_classes(units_, codec, k, floor, dim, probes, rerank), codec, k, floor, dim)
     if copies is None:
         ranked = pairs.select(F.col("rep").alias("seq"), "other", "similarity")
         order = F.row_number().over(_by("seq"))

@@ -87,3 +87,14 @@ def test_small_tables(spark):
     assert n.most_similar(frame(spark, [np.ones(16)]), 5, 16).count() == 0
     two = n.most_similar(frame(spark, [np.ones(16), np.arange(16.0)]), 5, 16).collect()
     assert sorted((r["seq"], r["other"], r["rank"]) for r in two) == [(1, 2, 1), (2, 1, 1)]
+
+
+def test_vectors_leave_the_disk_when_the_codes_are_written(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}"
+    monkeypatch.setattr("sextant.session.shared_folder", lambda _: folder)
+    x = np.random.default_rng(11).normal(size=(300, 16))
+    x[1] = x[0]
+    got = n.most_similar(frame(spark, x), 5, 16).toPandas()
+    assert (got.groupby("seq").size() == 5).all()
+    kept = {p.parent.parent.name.split("-")[1] for p in tmp_path.rglob("*.parquet")}
+    assert "codes" in kept and "vectors" not in kept
