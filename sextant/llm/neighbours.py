@@ -330,14 +330,16 @@ def _caps(unit_: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Source:
-    """Vectors of one pass, ordered by cell, or with a floor by groups and these by radius."""
+    """Vectors of one pass, ordered by cell, or with a floor by groups and these by bound and radius."""
 
     rep: np.ndarray
     unit: np.ndarray
     cells: np.ndarray
     sizes: np.ndarray  # of each cell or group
     radius: np.ndarray  # of each cell by the vectors of this pass, as a distance; of each group as an angle
-    middle: np.ndarray | None = None  # of each group
+    middle: np.ndarray | None = None  # of each group, and a 1
+    reach: np.ndarray | None = None  # of each group: its radius and the angle of its lowest bound
+    least: np.ndarray | None = None  # bound of each vector
 
     @classmethod
     def of(cls, rep: np.ndarray, unit_: np.ndarray, cell: np.ndarray, centroids: np.ndarray) -> Source:
@@ -348,14 +350,19 @@ class Source:
         return cls(rep, unit_, cells, sizes, np.maximum.reduceat(far, starts))
 
     @classmethod
-    def grouped(cls, rep: np.ndarray, unit_: np.ndarray, *keys: np.ndarray) -> Source:
+    def grouped(cls, rep: np.ndarray, unit_: np.ndarray, least: np.ndarray, *keys: np.ndarray) -> Source:
         order = np.lexsort(keys)
         starts = _starts(*(k[order] for k in keys))
         middle, radius = _caps(unit_[order], starts)
+        reach = radius + _angle(np.minimum.reduceat(least[order], starts))
         sizes = np.diff(starts, append=len(rep))
-        by = np.argsort(radius, kind="stable")
+        by = np.lexsort((radius, np.rint(10 * (reach - radius))))  # alike in a block
         row = order[np.repeat(starts[by] - np.cumsum(sizes[by]) + sizes[by], sizes[by]) + np.arange(len(rep))]
-        return cls(rep[row], unit_[row], keys[-1][row], sizes[by], radius[by], middle[by])
+        return cls(rep[row], unit_[row], keys[-1][row], sizes[by], radius[by], np.pad(middle[by], ((0, 0), (0, 1)), constant_values=1), reach[by], least[row])
+
+
+def _angle(least: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(least - 1e-6, -1, 1))
 
 
 def _open_cells(q: np.ndarray, home: int, least: np.ndarray, centroids: np.ndarray, source: Source) -> np.ndarray:
@@ -374,24 +381,61 @@ def _open_cells(q: np.ndarray, home: int, least: np.ndarray, centroids: np.ndarr
     return (np.maximum(wall, np.sqrt(to) - source.radius) <= reach[:, None]).any(axis=0)
 
 
-def _open_groups(middle: np.ndarray, reach: np.ndarray, source: Source, space: np.ndarray) -> np.ndarray:
-    """Which groups of the source may hold a vector within reach, an angle, of the middle of some group of queries.
+def _open_groups(middle: np.ndarray, radius: np.ndarray, reach: np.ndarray, source: Source, space: np.ndarray) -> np.ndarray:
+    """Which groups of the source may hold a vector that reaches the bound of some query of these groups, or whose bound such a query reaches.
 
-    Angles obey the triangle inequality, so middles further apart than the reach and the group's radius rule it out.
+    Angles obey the triangle inequality, so middles further apart than one group's reach and the other's radius rule it out.
     """
     open_ = np.empty(len(source.middle), bool)
+    asking = np.pad(middle, ((0, 0), (0, 1)))
     for b in range(0, len(open_), BLOCK):
         there = source.middle[b : b + BLOCK]
-        near = np.matmul(middle, there.T, out=space[: len(middle), : len(there)] if len(there) == BLOCK else None)
-        far = np.minimum(reach + source.radius[min(b + BLOCK, len(open_)) - 1] + 1e-3, np.pi)  # 1e-3, 1e-5: more than single precision misses
-        (near >= (np.cos(far) - 1e-5).astype(np.float32)[:, None]).any(axis=0, out=open_[b : b + BLOCK])
+        far = np.maximum(reach + source.radius[b : b + BLOCK].max(), radius + source.reach[b : b + BLOCK].max())
+        asking[:, -1] = 1e-5 - np.cos(np.minimum(far + 1e-3, np.pi))  # 1e-3, 1e-5: more than single precision misses
+        near = np.matmul(asking, there.T, out=space[: len(middle), : len(there)] if len(there) == BLOCK else None)
+        open_[b : b + BLOCK] = near.max(axis=0) >= 0
     return open_
 
 
-def _completed(codec, source, k: int, floor: float | None, dim: int) -> object:
+class Answers:
+    """The best k queries for each vector of the source, as far as they reach its bound."""
+
+    def __init__(self, source: Source, k: int) -> None:
+        self.k, self.names, self.lowest = k, source.rep, (source.least - 1e-6).astype(np.float32)
+        self.vector, self.rep, self.cosine = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.kept = 0
+
+    def add(self, vector: np.ndarray, rep: np.ndarray, cosine: np.ndarray) -> None:
+        self.vector, self.rep, self.cosine = np.append(self.vector, vector), np.append(self.rep, rep), np.append(self.cosine, cosine)
+        if len(self.vector) > 2 * self.kept + 65_536:
+            self.sift()
+
+    def sift(self) -> None:
+        order = np.lexsort((self.rep, -self.cosine, self.vector))
+        vector = self.vector[order]
+        rank = np.arange(len(vector)) - np.searchsorted(vector, vector)
+        last, order = order[rank == self.k - 1], order[rank < self.k]
+        self.lowest[self.vector[last]] = np.maximum(self.lowest[self.vector[last]], self.cosine[last] - 1e-6)
+        self.vector, self.rep, self.cosine = self.vector[order], self.rep[order], self.cosine[order]
+        self.kept = len(order)
+
+    def taken(self) -> pa.RecordBatch:
+        """What is held, which is then forgotten; the bounds stay as high as it has raised them."""
+        self.sift()
+        batch = _found(self.names[self.vector], self.rep, self.cosine)
+        self.vector, self.rep, self.cosine, self.kept = self.vector[:0], self.rep[:0], self.cosine[:0], 0
+        return batch
+
+
+def _found(rep: np.ndarray, other: np.ndarray, cosine: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(other, pa.int64()), pa.array(cosine, pa.float64())], ["rep", "other", "similarity"])
+
+
+def _completed(codec, source, k: int, floor: float | None, dim: int, now: int) -> object:
     """The best k of the source for each query that reach its bound, by exact cosines with all that is open.
 
     The queries come ordered by cell and group, so those of one cell, or some groups, are searched together.
+    Queries of a later turn than now also answer the vectors of the source, which do not ask in theirs.
     """
 
     def blocks(unit_: np.ndarray, least: np.ndarray, cell: np.ndarray, block: np.ndarray, part: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -400,25 +444,26 @@ def _completed(codec, source, k: int, floor: float | None, dim: int) -> object:
             edges = [*_starts(cell).tolist(), len(cell)]
             for begin, end in ((a, min(a + QUERIES, z)) for y, z in zip(edges, edges[1:]) for a in range(y, z, QUERIES)):
                 yield begin, end, np.repeat(_open_cells(unit_[begin:end], cell[begin], least[begin:end], codec.value.centroids, s), s.sizes)
-            return
-        starts = _starts(cell, block, part)
-        middle, radius = _caps(unit_, starts) if len(starts) else (None, None)
-        reach = radius + np.arccos(np.clip(np.minimum.reduceat(least, starts) - 1e-6, -1, 1)) if len(starts) else None
-        edges = [*starts.tolist(), len(cell)]
-        for a in range(0, len(starts), QUERIES):
-            z = min(a + QUERIES, len(starts))
-            open_ = np.repeat(_open_groups(middle[a:z], reach[a:z], s, space), s.sizes)
-            for begin in range(edges[a], edges[z], QUERIES):
-                yield begin, min(begin + QUERIES, edges[z]), open_
+        elif len(cell):
+            starts = _starts(cell, block, part)
+            middle, radius = _caps(unit_, starts)
+            reach = radius + _angle(np.minimum.reduceat(least, starts))
+            edges = [*starts.tolist(), len(cell)]
+            for a in range(0, len(starts), QUERIES):
+                z = min(a + QUERIES, len(starts))
+                open_ = np.repeat(_open_groups(middle[a:z], radius[a:z], reach[a:z], s, space), s.sizes)
+                for begin in range(edges[a], edges[z], QUERIES):
+                    yield begin, min(begin + QUERIES, edges[z]), open_
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = source.value
         space = np.empty((QUERIES, BLOCK), np.float32)
+        answers = None if s.least is None else Answers(s, k)
         for batch in batches:
             unit_ = _vectors(batch.column(1), dim)
-            reps, cell, block, part, bounds = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
+            reps, cell, block, part, bounds, turn = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 5, 6))
             for begin, end, open_ in blocks(unit_, bounds, cell, block, part, space):
-                q, rep, least = unit_[begin:end], reps[begin:end], bounds[begin:end]
+                q, rep, least, later = unit_[begin:end], reps[begin:end], bounds[begin:end], turn[begin:end] > now
                 columns = None if open_.mean() > 0.7 else np.flatnonzero(open_)  # a copy of most vectors costs more than the others' products
                 vectors, names = (s.unit, s.rep) if columns is None else (s.unit[columns], s.rep[columns])
                 r, name, cosine = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -426,6 +471,14 @@ def _completed(codec, source, k: int, floor: float | None, dim: int) -> object:
                 for b in range(0, len(vectors), BLOCK):
                     v = vectors[b : b + BLOCK]
                     near = np.matmul(q, v.T, out=space[: len(q), : len(v)] if len(v) == BLOCK else None)
+                    if later.any():
+                        at = np.arange(b, b + len(v)) if columns is None else columns[b : b + len(v)]
+                        flat = np.flatnonzero(near >= np.where(later[:, None], answers.lowest[at], np.float32(9)))
+                        if len(flat):
+                            i, m = np.divmod(flat, len(v))
+                            c = np.einsum("ij,ij->i", q[i].astype(np.float64), v[m].astype(np.float64))
+                            good = c >= floor
+                            answers.add(at[m[good]], rep[i[good]], c[good])
                     flat = np.flatnonzero(near >= lowest[:, None])
                     if not len(flat):
                         continue
@@ -441,7 +494,9 @@ def _completed(codec, source, k: int, floor: float | None, dim: int) -> object:
                     lowest[r[last]] = np.maximum(lowest[r[last]], cosine[last] - 1e-6)
                     r, name, cosine = r[rank < k], name[rank < k], cosine[rank < k]
                 if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[r], pa.int64()), pa.array(name, pa.int64()), pa.array(cosine, pa.float64())], ["rep", "other", "similarity"])
+                    yield _found(rep[r], name, cosine)
+            if answers is not None:
+                yield answers.taken()
 
     return search
 
@@ -460,19 +515,22 @@ def complete(found: DataFrame, codec: Codec, k: int, floor: float | None, dim: i
     start = np.cumsum([0] + [n for _, n in sizes])
     passes = max(1, -(-int(start[-1]) // min(max(PASS, int(start[-1]) // 4), max(PASS, MOST_PASS))))
     plan = spark.createDataFrame(pa.table({"cell": pa.array([c for c, _ in sizes], pa.int32()), "n": pa.array([n for _, n in sizes], pa.int64()), "start": pa.array(start[:-1], pa.int64())}))
+    # Where a vector stands decides the turn in which it is searched.
     spread = F.xxhash64("rep") if floor is None else F.xxhash64("block", "part")  # a group stays together
     turn = ((F.col("start") + F.pmod(spread, F.col("n"))) * passes / F.lit(int(start[-1]))).cast("int")
     placed = asking.join(F.broadcast(plan), "cell").withColumn("turn", turn)
     done = []
     for i in range(passes):
-        got = placed.filter(F.col("turn") == i).select("rep", "unit", "cell", "block", "part").toArrow()
+        got = placed.filter(F.col("turn") == i).select("rep", "unit", "cell", "block", "part", "least").toArrow()
         if not got.num_rows:
             continue
         vectors = np.concatenate([_vectors(c, dim) for c in got["unit"].chunks])
-        rep, cell, block, part = (got[c].to_numpy() for c in ("rep", "cell", "block", "part"))
+        rep, cell, block, part, least = (got[c].to_numpy() for c in ("rep", "cell", "block", "part", "least"))
         del got
-        source = spark.sparkContext.broadcast(Source.of(rep, vectors, cell, codec.centroids) if floor is None else Source.grouped(rep, vectors, part, block, cell))
-        done.append(materialize(asking.mapInArrow(_completed(shared, source, k, floor, dim), "rep long, other long, similarity double"), "completed"))
+        source = spark.sparkContext.broadcast(Source.of(rep, vectors, cell, codec.centroids) if floor is None else Source.grouped(rep, vectors, least, part, block, cell))
+        queries = asking.withColumn("turn", F.lit(i)) if floor is None else placed.filter(F.col("turn") >= i)  # each two groups meet once
+        queries = queries.select("rep", "unit", "cell", "block", "part", "least", "turn")
+        done.append(materialize(queries.mapInArrow(_completed(shared, source, k, floor, dim, i), "rep long, other long, similarity double"), "completed"))
         source.destroy()
     if len(done) == 1:
         return done[0]

@@ -98,3 +98,25 @@ def test_vectors_leave_the_disk_when_the_codes_are_written(spark, tmp_path, monk
     assert (got.groupby("seq").size() == 5).all()
     kept = {p.parent.parent.name.split("-")[1] for p in tmp_path.rglob("*.parquet")}
     assert "codes" in kept and "vectors" not in kept
+
+
+def test_completing_search_multiplies_groups_once(spark, monkeypatch):
+    monkeypatch.setattr(n, "PASS", 600)
+    monkeypatch.setattr(n, "MOST_PASS", 600, raising=False)
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(300, 64)), 8, axis=0) + 0.22 * rng.normal(size=(2400, 64))
+    x[:200] = rng.normal(size=(200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s, best = exact(x, 5)
+    want = {(i, j) for i in range(len(x)) for j in best[i] if s[i, j] >= 0.88}
+    turns = []
+    completed = n._completed
+    monkeypatch.setattr(n, "_completed", lambda *a: turns.append((a[1].value, a[5])) or completed(*a))
+    got = n.most_similar(frame(spark, x), 5, 64, floor=0.88).toPandas()
+    assert set(zip(got.seq - 1, got.other - 1)) == want and len(got) == len(want)
+    assert [now for _, now in turns] == [0, 1, 2, 3] and sum(len(s.rep) for s, _ in turns) == len(x)
+    assert sum(len(s.middle) for s, _ in turns) < 0.35 * len(x)  # of each the search multiplies the middle, not the members
+    space = np.empty((n.QUERIES, n.BLOCK), np.float32)
+    for source, _ in turns:
+        asking = slice(0, 8)
+        assert n._open_groups(source.middle[asking, :-1], source.radius[asking], source.reach[asking], source, space).mean() < 0.2
